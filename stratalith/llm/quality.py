@@ -101,13 +101,15 @@ class Forest:
     base: float
 
     def margin(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.feature):
+            return np.full(len(x), self.base)
         trees = np.arange(len(self.feature))
         node = np.zeros((len(x), len(trees)), dtype=np.int64)
         rows = np.arange(len(x))[:, None]
-        inner = self.feature.shape[1] if len(trees) else 0
+        inner = self.feature.shape[1]
         for _ in range((inner + 1).bit_length() - 1):
             node = 2 * node + 1 + (x[rows, self.feature[trees, node]] > self.threshold[trees, node])
-        return self.base + (self.leaf[trees, node - inner].sum(axis=1) if len(trees) else 0.0)
+        return self.base + self.leaf[trees, node - inner].sum(axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-self.margin(x)))

@@ -79,8 +79,10 @@ class Words:
         at = np.arange(n - k + 1)
         h = mix(slice_hashes(self.hashes, at, at + k, _BASE_WORDS))
         inside = np.ones(n + 1, dtype=bool)
+        begin, end = self.bounds[:-1], self.bounds[1:]
+        begin, end = begin[end > begin], end[end > begin]  # a document without words has no position to mask
         for back in range(1, k):
-            inside[np.maximum(self.bounds[1:] - back, self.bounds[:-1])] = False
+            inside[np.maximum(end - back, begin)] = False
         # A document shorter than k has no window: everything from its first word on is masked above.
         return h, inside[: n - k + 1]
 
