@@ -307,3 +307,20 @@ def zero_runs(df: DataFrame, key: str, content: Column, least: int = 512, byte:
 
     rows = df.select(F.col(key).cast("long").alias("key"), content.alias("content")).where("content IS NOT NULL")
     return rows.mapInArrow(run, "key long, ofs long, len long").withColumnRenamed("key", key)
+
+
+def chunks_across(df: DataFrame, group: str, order: str, content: Column, bits: int = BITS, fan_bits: int = FAN_BITS) -> DataFrame:
+    """(group, seq, ofs, len, level, oid): chunks of each group's contents laid end to end in order, so that a chunk may span
+    several of them. A group is one task's memory."""
+    import pandas as pd
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("ord", kind="stable")
+        data = b"".join(bytes(c) for c in part["content"])
+        _, end, level = cut(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]), bits, fan_bits)
+        start = np.r_[0, end[:-1]] if len(end) else end
+        oids = [blob_id(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        return pd.DataFrame({"grp": [part["grp"].iloc[0]] * len(end), "seq": np.arange(len(end)), "ofs": start, "len": end - start, "level": level, "oid": oids})
+
+    rows = df.select(F.col(group).cast("string").alias("grp"), F.col(order).alias("ord"), content.alias("content")).where("content IS NOT NULL")
+    return rows.groupBy("grp").applyInPandas(run, "grp string, seq int, ofs long, len int, level int, oid string").withColumnRenamed("grp", group)

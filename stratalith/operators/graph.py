@@ -9,16 +9,17 @@ from stratalith.storage import written
 
 
 def closure(edges: DataFrame, start: DataFrame, stop: DataFrame | None = None) -> DataFrame:
-    """(root, node): everything that each root reaches over edges (src, dst), beginning with start (root, node).
+    """(root, node, depth): everything that each root reaches over edges (src, dst), beginning with start (root, node), and in
+    how many steps at least.
 
     Nodes of stop (node) are reached but not left. A round joins only what the last one found, and adds only what is new;
     cycles and shared descendants cost nothing extra. There are as many rounds as the longest shortest path is long."""
-    frontier = written(start.select("root", "node").where("node IS NOT NULL").distinct(), "frontier")
+    frontier = written(start.select("root", "node", F.lit(0).alias("depth")).where("node IS NOT NULL").distinct(), "frontier")
     rounds, seen = [frontier], frontier
     while True:
         leave = frontier if stop is None else frontier.join(stop.select("node"), "node", "left_anti")
-        step = leave.join(edges.select("src", "dst"), leave["node"] == F.col("src")).select("root", F.col("dst").alias("node")).where("node IS NOT NULL").distinct()
-        frontier = written(step.join(seen, ["root", "node"], "left_anti"), "frontier")
+        step = leave.join(edges.select("src", "dst"), leave["node"] == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(len(rounds)).alias("depth")).where("node IS NOT NULL").distinct()
+        frontier = written(step.join(seen.select("root", "node"), ["root", "node"], "left_anti"), "frontier")
         if frontier.isEmpty():
             return seen
         rounds.append(frontier)

@@ -72,8 +72,8 @@ def leading_run(rows: DataFrame, holds: Column, by: str, *order: Column | str) -
 
 
 def ancestors(parents: DataFrame, tips: DataFrame) -> DataFrame:
-    """(tip, oid): the commits that each tip reaches over parents (child, parent), itself included."""
-    return closure(parents.select(F.col("child").alias("src"), F.col("parent").alias("dst")), tips.select(F.col("oid").alias("root"), F.col("oid").alias("node"))).select(F.col("root").alias("tip"), F.col("node").alias("oid"))
+    """(tip, oid, depth): the commits that each tip reaches over parents (child, parent), itself included."""
+    return closure(parents.select(F.col("child").alias("src"), F.col("parent").alias("dst")), tips.select(F.col("oid").alias("root"), F.col("oid").alias("node"))).select(F.col("root").alias("tip"), F.col("node").alias("oid"), "depth")
 
 
 def fast_forwards(parents: DataFrame, requests: DataFrame) -> DataFrame:
@@ -84,10 +84,10 @@ def fast_forwards(parents: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def rev_list(commits: DataFrame, tips: DataFrame) -> DataFrame:
-    """(tip, oid, utc, place): each tip's history, newest first. commits: (oid, parent, utc)."""
+    """(tip, oid, utc, place, depth): each tip's history, newest first, of one time the nearest to the tip. commits: (oid, parent, utc)."""
     reach = ancestors(commits.where("parent IS NOT NULL").select(F.col("oid").alias("child"), "parent"), tips)
     dated = reach.join(commits.select("oid", "utc").distinct(), "oid")
-    return dated.select("tip", "oid", "utc", F.row_number().over(Window.partitionBy("tip").orderBy(F.desc("utc"), F.desc("oid"))).alias("place"))
+    return dated.select("tip", "oid", "utc", F.row_number().over(Window.partitionBy("tip").orderBy(F.desc("utc"), "depth", "oid")).alias("place"), "depth")
 
 
 def resolve_names(names: DataFrame, refs: DataFrame, objects: DataFrame) -> DataFrame:

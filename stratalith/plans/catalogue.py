@@ -361,10 +361,10 @@ def _commits(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.concat(F.lit("c"), "o_orderkey").alias("oid"), F.concat(F.lit("c"), F.lag("o_orderkey").over(w)).alias("parent"), "o_custkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("utc"), back.alias("back"))
 
 
-@_query(f"WITH c AS {_COMMITS} SELECT t.oid AS tip, c.oid, c.utc, row_number() OVER (PARTITION BY t.oid ORDER BY c.utc DESC, c.oid DESC) AS place FROM c JOIN c t ON t.back = 1 AND t.o_custkey = c.o_custkey")
+@_query(f"WITH c AS {_COMMITS} SELECT t.oid AS tip, c.oid, c.utc, row_number() OVER (PARTITION BY t.oid ORDER BY c.utc DESC, c.back) AS place FROM c JOIN c t ON t.back = 1 AND t.o_custkey = c.o_custkey")
 def rev_list(spark, d):
     commits = _commits(spark, d)
-    return history.rev_list(commits, commits.where("back = 1").select("oid"))
+    return history.rev_list(commits, commits.where("back = 1").select("oid")).drop("depth")
 
 
 @_query(f"WITH c AS {_COMMITS} SELECT a.oid AS src, b.oid AS dest, a.back <= b.back AS allowed FROM c a JOIN c b ON a.o_custkey = b.o_custkey AND a.back = 2 AND b.back <= 3")

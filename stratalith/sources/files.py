@@ -68,8 +68,10 @@ def scan_tree(spark: SparkSession, folder: str, one_device: bool = False) -> Dat
 
 
 def file_contents(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content, length) of the files below folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "content", "length")
+    """(path, content, length) of the files below folder; empty ones, which the binary source skips, come from the listing."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "content", "length")
+    nothing = scan_tree(spark, folder).where((F.col("size") == 0) & (F.col("mode").bitwiseAND(F.lit(0o170000)) == 0o100000))
+    return found.unionByName(nothing.select("path", F.lit(b"").alias("content"), F.lit(0).cast("long").alias("length")))
 
 
 def backup_times(lines: DataFrame, column: str = "value") -> DataFrame:
