@@ -19,6 +19,8 @@ SHORTFALL_COST = 1000
 #: Patterns x buckets that the driver holds at most (16 bytes each); the buckets get coarser before this is exceeded.
 DRIVER_CELLS = 1_000_000
 SEED = 17
+#: Exponent of the default targets: 1 leaves the sources' shares as they are, 0 makes them equal.
+POWER = 0.3
 
 
 class Flow:
@@ -107,7 +109,7 @@ def _quotas(held: Mapping[str, int], weights: Mapping[str, float] | None, budget
     return {s: int(budget * w / total) if total else 0 for s, w in raw.items()}
 
 
-def mix_plan(docs: DataFrame, sources: Column | None = None, weights: Mapping[str, float] | None = None, budget_ratio: float = 1.0, power: float = 0.7, seed: int = SEED) -> DataFrame:
+def mix_plan(docs: DataFrame, sources: Column | None = None, weights: Mapping[str, float] | None = None, budget_ratio: float = 1.0, power: float = POWER, seed: int = SEED) -> DataFrame:
     """(doc_id, tokens, pattern, epochs) for every row of docs that has a doc_id: how often the mixture uses the document.
 
     sources gives the array of names of the sources a document belongs to (by default its source and its language), and

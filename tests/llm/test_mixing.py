@@ -98,3 +98,14 @@ def test_no_sources_and_empty_table(spark):
     assert mixing.mix_documents(tables.empty(spark)).count() == 0
     none = mixing.mix_plan(tables.docs(spark, [(1, "a b"), (2, "")]), F.lit(None).cast("array<string>")).collect()
     assert {r["doc_id"]: r["epochs"] for r in none} == {1: 0, 2: 1}
+
+
+def test_default_targets_temper_a_hot_source(spark):
+    """A source with nearly all tokens is thinned, the others are repeated, and everything stays within its quota."""
+    d = tables.docs(spark, [(i, " ".join(tables.soup(i, 10)), "en", "hot" if i % 20 else f"s{i % 3}") for i in range(800)])
+    used = {}
+    for p in mixing.mix_plan(d, _sources()).collect():
+        used.setdefault(p["pattern"], []).append(p["epochs"])
+    mean = {k: sum(v) / len(v) for k, v in used.items()}
+    assert mean["s:hot"] < 0.8 and all(mean[f"s:s{k}"] > 2 for k in range(3))
+    assert max(max(v) for v in used.values()) <= len(mixing.REPEAT_COSTS)
