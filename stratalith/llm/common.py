@@ -66,21 +66,39 @@ def keep_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFra
     return docs.join(F.broadcast(side) if few else side, docs[column] == F.col("__sl_id"), "left_semi")
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Cuts a stream sorted by a 64-bit key into tables that hold whole groups, a batch's worth at a time."""
+def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, most: int = 1 << 62) -> Iterator[pa.Table]:
+    """Cuts a stream sorted by a 64-bit key into tables that hold whole groups, a batch's worth at a time. A group of more
+    than `most` rows comes in tables of its own, each but the last with `most` rows at least."""
     held: list[pa.RecordBatch] = []  # rows of one key, the last seen
+
+    def out() -> pa.Table:
+        table = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        return table
+
+    parted = None  # the key whose rows have been handed out in part
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = batch.column(key).to_numpy(zero_copy_only=False)
+        if parted is not None:
+            own = int(np.searchsorted(keys, parted, side="right"))
+            if own < len(keys):
+                held.append(batch.slice(0, own))
+                if sum(b.num_rows for b in held):
+                    yield out()
+                held.clear()
+                parted, batch, keys = None, batch.slice(own), keys[own:]
         cut = int(np.searchsorted(keys, keys[-1]))
-        if cut or (held and held[-1].column(key)[-1].as_py() != int(keys[0])):
+        if parted is None and (cut or (held and held[-1].column(key)[-1].as_py() != int(keys[0]))):
             held.append(batch.slice(0, cut))
-            yield pa.Table.from_batches(held).combine_chunks()
-            held = []
+            yield out()
         held.append(batch.slice(cut))
+        if sum(b.num_rows for b in held) >= most:
+            parted = int(keys[-1])
+            yield out()
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield out()
 
 
 def group_bounds(keys: np.ndarray) -> np.ndarray:

@@ -21,6 +21,8 @@ from stratalith.llm import textkernel as K
 from stratalith.llm.common import drop_settled, group_bounds, has_text, settle, sorted_groups
 
 MIN_WORDS = 50
+#: Runs of one class that a task holds at once.
+PART_ROWS = 100_000
 _RUN = "class long, doc_id long, start int, hashes binary"
 _NAMED = "doc_id long, start int, names binary"
 
@@ -60,35 +62,69 @@ def _first_level(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of runs sorted by class, the windows that occur in two documents at least, with a 64-bit name for each."""
-    for table in sorted_groups(batches, "class"):
-        cls = table.column("class").to_numpy()
-        doc = table.column("doc_id").to_numpy()
-        bounds = group_bounds(cls)
-        several = np.minimum.reduceat(doc, bounds[:-1]) != np.maximum.reduceat(doc, bounds[:-1])
-        rows = np.flatnonzero(np.repeat(several, np.diff(bounds)))
-        if not len(rows):
-            continue
-        raw = table.column("hashes").take(pa.array(rows)).combine_chunks()
-        flat = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint32)
-        sizes = np.asarray(pc.binary_length(raw)).astype(np.int64) // 4
-        row = np.repeat(np.arange(len(rows)), sizes)
-        begins = np.cumsum(sizes) - sizes
-        at = table.column("start").to_numpy()[rows][row] + np.arange(len(flat)) - begins[row]
-        doc = doc[rows]
-        names = K.mix(cls[rows].view(K.U64)[row] + flat.astype(K.U64) * K.U64(0xD1342543DE82EF95))
+def _windows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, document, position) of every window of runs."""
+    raw = table.column("hashes").combine_chunks()
+    flat = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint32)
+    sizes = np.asarray(pc.binary_length(raw)).astype(np.int64) // 4
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = table.column("start").to_numpy()[row] + np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[row]
+    names = K.mix(table.column("class").to_numpy().view(K.U64)[row] + flat.astype(K.U64) * K.U64(0xD1342543DE82EF95))
+    return names, table.column("doc_id").to_numpy()[row], at
+
+
+def _named(names: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    stretch = np.r_[0, np.flatnonzero((doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)) + 1, len(doc)]
+    return pa.RecordBatch.from_arrays([pa.array(doc[stretch[:-1]]), pa.array(at[stretch[:-1]].astype(np.int32)), _binary(names, stretch)], names=["doc_id", "start", "names"])
+
+
+class _Repeats:
+    """Windows met so far that only one document has had, and two documents (or the one) of every name met."""
+
+    def __init__(self) -> None:
+        self.pending = self.known = (np.zeros(0, dtype=K.U64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+
+    def add(self, names: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows, of these and of those met before, that are found to be repeated now."""
+        own, kept = len(names), len(self.pending[0])
+        names, doc, at = (np.concatenate(x) for x in zip((names, doc, at), self.pending, self.known, strict=True))
         order = np.argsort(names, kind="stable")
         groups = group_bounds(names[order])
-        of = doc[row[order]]
-        two = np.minimum.reduceat(of, groups[:-1]) != np.maximum.reduceat(of, groups[:-1])
-        keep = np.zeros(len(names), dtype=bool)
-        keep[order] = np.repeat(two, np.diff(groups))
-        if not keep.any():
-            continue
-        names, row, at = names[keep], row[keep], at[keep]
-        stretch = np.r_[0, np.flatnonzero((row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)) + 1, len(row)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[row[stretch[:-1]]]), pa.array(at[stretch[:-1]].astype(np.int32)), _binary(names, stretch)], names=["doc_id", "start", "names"])
+        least, most = np.minimum.reduceat(doc[order], groups[:-1]), np.maximum.reduceat(doc[order], groups[:-1])
+        twice = np.zeros(len(names), dtype=bool)
+        twice[order] = np.repeat(least != most, np.diff(groups))
+        window = np.arange(len(names)) < own + kept
+        found, rest = twice & window, ~twice & window
+        self.pending = names[rest], doc[rest], at[rest]
+        first = names[order][groups[:-1]]
+        several = least != most
+        self.known = np.r_[first, first[several]], np.r_[least, most[several]], np.zeros(len(first) + int(several.sum()), dtype=np.int64)
+        return names[found], doc[found], at[found]
+
+
+def _repeated(part_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of runs sorted by class, the windows that occur in two documents at least, with a 64-bit name for each. A class of
+    more than part_rows runs is taken in parts, with only its distinct windows in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, repeats = None, _Repeats()
+        for table in sorted_groups(batches, "class", part_rows):
+            cls, doc = table.column("class").to_numpy(), table.column("doc_id").to_numpy()
+            bounds = group_bounds(cls)
+            if cls[0] != carried:
+                carried, repeats = None, _Repeats()
+            several = np.minimum.reduceat(doc, bounds[:-1]) != np.maximum.reduceat(doc, bounds[:-1])
+            large = carried is not None or len(table) >= part_rows
+            if large and len(bounds) == 2:
+                carried = cls[0]
+                found = repeats.add(*_windows(table))
+            else:
+                rows = np.flatnonzero(np.repeat(several, np.diff(bounds)))
+                found = _Repeats().add(*_windows(table.take(pa.array(rows)))) if len(rows) else ()
+            if len(found) and len(found[0]):
+                yield _named(*found)
+
+    return run
 
 
 def _positions(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +175,7 @@ def _spans(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, part_rows: int = PART_ROWS) -> DataFrame:
     """(doc_id, start_word, end_word, longest): the stretches of each document that other documents repeat.
 
     A stretch is a maximal union of overlapping or touching windows of min_words words each of which occurs in another document too;
@@ -149,8 +185,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Null ids and null, empty or shorter texts have no stretch. Repeated rows of one doc_id are one document, and where
     they have several texts, their stretches are united. An empty table gives no rows. Other columns are ignored.
-    Windows are equal when 96 bits of hashes are. A class (one passage's windows) must fit one task, at about 100 bytes
-    an occurrence.
+    Windows are equal when 96 bits of hashes are. However often a passage occurs, a task holds part_rows of its runs.
     """
     if min_words < 2:
         raise ValueError("min_words must be 2 at least")
@@ -158,7 +193,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = has_text(docs).mapInArrow(_first_level(min_words), _RUN)
     length, found, spans = min_words, [], None
     while True:
-        kept = settle(runs.repartition("class").sortWithinPartitions("class").mapInArrow(_repeated, _NAMED), "windows")
+        kept = settle(runs.repartition("class").sortWithinPartitions("class").mapInArrow(_repeated(part_rows), _NAMED), "windows")
         by_doc = kept.repartition("doc_id").sortWithinPartitions("doc_id")
         level = settle(by_doc.mapInArrow(_spans(length), "doc_id long, start_word int, end_word int"), "spans")
         if spans is None:

@@ -80,3 +80,13 @@ def test_empty_table(spark):
     assert substring.repeated_passages(tables.empty(spark)).count() == 0
     with pytest.raises(ValueError):
         substring.repeated_passages(tables.empty(spark), 1)
+
+
+@pytest.mark.parametrize("part", [1, 3, 20])
+def test_frequent_passages_in_parts(spark, part):
+    """The same stretches, however few runs a task holds at once."""
+    r = random.Random(part)
+    p = tables.soup(5, 30, 3000)
+    rows = [(i, " ".join(tables.soup(i, 10, 3000) + p[r.randrange(4) : 30 - r.randrange(4)] + tables.soup(i + 500, 5, 3000))) for i in range(50)]
+    found = {tuple(x) for x in substring.repeated_passages(tables.docs(spark, rows), 6, part).select("doc_id", "start_word", "end_word", "longest").collect()}
+    assert found == _brute(rows, 6)
