@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
 
 _KINDS = {"commit": 1, "tree": 2, "blob": 3, "tag": 4}
 _NAMES = {v: k for k, v in _KINDS.items()}
@@ -216,3 +216,33 @@ def split_words(line: str) -> Sequence[tuple[int, str]]:
     if start is not None:
         words.append((start, word))
     return words
+
+
+def decode_tree(data: bytes) -> list[tuple[int, str, str]]:
+    """(mode, name, hex id) of each entry of an encoded directory."""
+    out, at = [], 0
+    while at < len(data):
+        blank, nul = data.index(b" ", at), data.index(b"\0", at)
+        out.append((int(data[at:blank], 8), data[blank + 1 : nul].decode("utf-8", "surrogateescape"), data[nul + 1 : nul + 21].hex()))
+        at = nul + 21
+    return out
+
+
+_ENTRY = StructType().add("mode", LongType()).add("name", StringType()).add("oid", StringType())
+
+
+@F.pandas_udf(ArrayType(_ENTRY))
+def tree_entries(contents: pd.Series) -> pd.Series:
+    """Array of (mode, name, oid) of an encoded directory; null for null."""
+    return pd.Series([None if c is None else [{"mode": m, "name": n, "oid": o} for m, n, o in decode_tree(bytes(c))] for c in contents], dtype=object)
+
+
+def columnate(words: Sequence[str], width: int = 80, prefix: str = "") -> str:
+    """Words in columns, top down, as many columns as fit the width."""
+    if not words:
+        return ""
+    longest = max(map(len, words))
+    columns = max(1, (width - len(prefix)) // (longest + 2))
+    rows = -(-len(words) // columns)
+    pad = longest + 2 if columns > 1 else 0
+    return "".join(prefix + "".join(w.ljust(pad) for w in words[r::rows]) + "\n" for r in range(rows))

@@ -175,3 +175,26 @@ def redundant(covers: list[tuple[str, int, int, list[str]]]) -> list[str]:
             out.append(name)
         seen.update(members)
     return out
+
+
+def bloom_absent(ids: DataFrame, filter_bits: DataFrame, bits: int, k: int) -> DataFrame:
+    """(oid) of ids that the filter denies: none, if it was made of them."""
+    return bloom_probe(ids, filter_bits, bits, k).where("NOT maybe").select("oid")
+
+
+def suggest_packs(incoming: DataFrame, index: DataFrame) -> DataFrame:
+    """(pack) whose index would have told the sender that an object need not be sent, each once."""
+    return index.join(incoming.select("oid").distinct(), "oid", "left_semi").select("pack").distinct()
+
+
+def stray_files(files: DataFrame, name: str = "name") -> DataFrame:
+    """Rows of files 'pack-<id>.<kind>' whose '.pack' is not among them."""
+    keyed = files.withColumn("__id", F.regexp_extract(name, r"^pack-([0-9a-f]{40})\.(.+)$", 1)).where("__id <> ''")
+    whole = keyed.where(F.endswith(F.col(name), F.lit(".pack"))).select("__id").distinct()
+    return keyed.join(whole, "__id", "left_anti").drop("__id")
+
+
+def find_in_batches(ids: DataFrame, size: int) -> DataFrame:
+    """ids with `batch`: groups of about `size` by prefix, for requests that go out together."""
+    bits = max(0, math.ceil(math.log2(max(1, ids.count() / size))))
+    return ids.withColumn("batch", leading_bits(F.col("oid"), bits) if bits else F.lit(0).cast("long"))

@@ -140,3 +140,16 @@ def same_device(rows: DataFrame, root_dev: Column) -> DataFrame:
 def order_violations(rows: DataFrame, order: str, name: str = "name") -> DataFrame:
     """Rows whose name is not less than the one before them, in each listing (a listing descends)."""
     return rows.withColumn("prev", F.lag(name).over(Window.partitionBy("listing").orderBy(order))).where(F.col(name) >= F.col("prev"))
+
+
+def save_totals(rows: DataFrame) -> DataFrame:
+    """(bytes, files, todo_bytes, todo_files): what a save reads through and what it has to store; rows: size, valid, is_dir."""
+    file, todo = ~F.col("is_dir"), ~F.col("is_dir") & ~F.col("valid")
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("size"))), F.lit(0)).cast("long")
+    return rows.agg(total(file).alias("bytes"), F.count_if(file).alias("files"), total(todo).alias("todo_bytes"), F.count_if(todo).alias("todo_files"))
+
+
+def already_saved(rows: DataFrame, objects: DataFrame) -> DataFrame:
+    """rows with `saved`: valid, and the object is stored."""
+    known = objects.select(F.col("oid").alias("__oid")).distinct()
+    return rows.join(known, rows["oid"] == F.col("__oid"), "left").withColumn("saved", F.col("valid") & F.col("__oid").isNotNull()).drop("__oid")

@@ -143,3 +143,29 @@ def glob_match(name: Column, pattern: str) -> Column:
     import fnmatch
 
     return F.regexp_like(name, F.lit("^" + fnmatch.translate(pattern).replace("(?>", "(?:").replace(r"\z", r"$").replace(r"\Z", r"$")))
+
+
+def path_kind(path: Column) -> Column:
+    """What a path of the store's view names: root, tags, tag, saves of a branch, latest, one save, or something inside it."""
+    clean = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
+    tagged = clean[0] == ".tag"
+    return (
+        F.when(F.size(clean) == 0, "root")
+        .when(tagged & (F.size(clean) == 1), "tags")
+        .when(tagged & (F.size(clean) == 2), "tag")
+        .when(F.size(clean) == 1, "branch")
+        .when(~tagged & (F.size(clean) == 2) & (clean[1] == "latest"), "latest")
+        .when(~tagged & (F.size(clean) == 2), "save")
+        .otherwise("inside")
+    )
+
+
+def edit_metadata(rows: DataFrame, values: dict[str, object], clear: tuple[str, ...] = ()) -> DataFrame:
+    """rows with owner columns set to values, or cleared."""
+    changed = {c: F.lit(v).cast(rows.schema[c].dataType) for c, v in values.items()}
+    return rows.withColumns(changed | {c: F.lit(None).cast(rows.schema[c].dataType) for c in clear})
+
+
+def graph_path(ref: Column, names: Column) -> Column:
+    """'ref a/b/' or 'ref a/b': how a walk came to an object; names end in '/' where they are directories."""
+    return F.concat(ref, F.lit(" "), F.array_join(names, ""))

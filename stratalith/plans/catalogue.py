@@ -284,6 +284,20 @@ def bloom_upkeep(spark, d):
     return by.select("source", membership.bloom_decision(old, old, F.col("added"), F.lit(6), 5).alias("decision"))
 
 
+@_query(f"SELECT DISTINCT source AS pack FROM (SELECT source, {_OID} AS oid FROM documents) WHERE oid IN (SELECT {_OID} FROM (SELECT text FROM conversations UNION ALL SELECT text FROM benchmark UNION ALL SELECT text FROM documents WHERE n_chars > 1000))")
+def suggest_packs(spark, d):
+    long = table(spark, d, "documents").where("n_chars > 1000").select(F.lit("document").alias("kind"), text_id(F.col("text")).alias("oid"))
+    sent = _probe(spark, d).where("kind <> 'document'").unionByName(long)
+    return membership.suggest_packs(sent, _documents(spark, d).select("oid", F.col("source").alias("pack")))
+
+
+@_query("SELECT p_partkey, 'pack-' || sha1(p_name || p_size) || '.' || lower(p_type) AS name FROM part p WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_type = 'PROMO' AND sha1(q.p_name || q.p_size) = sha1(p.p_name || p.p_size))")
+def stray_files(spark, d):
+    """Parts of type PROMO stand for the packs themselves."""
+    kind = F.when(F.col("p_type") == "PROMO", "pack").otherwise(F.lower("p_type"))
+    return membership.stray_files(table(spark, d, "part").select("p_partkey", F.concat(F.lit("pack-"), F.sha1(F.concat("p_name", "p_size")), F.lit("."), kind).alias("name")))
+
+
 # ---- histories
 
 _NOW = 1706659200
@@ -503,6 +517,11 @@ def metastore_offsets(spark, d):
     return snapshot.metadata_offsets(table(spark, d, "part").select(F.concat_ws(" ", "p_brand", "p_type", "p_size").alias("rec")), "rec")
 
 
+@_query("SELECT sum(p_size) FILTER (WHERE p_type <> 'SMALL')::bigint AS bytes, count(*) FILTER (WHERE p_type <> 'SMALL') AS files, sum(p_size) FILTER (WHERE p_type <> 'SMALL' AND p_retailprice < 1000)::bigint AS todo_bytes, count(*) FILTER (WHERE p_type <> 'SMALL' AND p_retailprice < 1000) AS todo_files FROM part")
+def save_totals(spark, d):
+    return snapshot.save_totals(table(spark, d, "part").select(F.col("p_size").alias("size"), (F.col("p_retailprice") >= 1000).alias("valid"), (F.col("p_type") == "SMALL").alias("is_dir")))
+
+
 _PATH = r"regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1)"
 
 
@@ -596,6 +615,16 @@ def tree_sorted_entries(spark, d):
     return _entries(spark, d).select("dir", "name", F.row_number().over(Window.partitionBy("dir").orderBy(entry_key(F.col("name"), F.col("mode")))).alias("pos"))
 
 
+@_query(f"SELECT dir, name, mode::bigint AS mode, oid FROM {_ENTRIES}")
+def tree_decode(spark, d):
+    """Encoded directories read back."""
+    from stratalith.functions.hashing import entry_hex
+
+    piece = F.struct(F.encode(entry_key(F.col("name"), F.col("mode")), "UTF-8").alias("k"), entry_hex(F.col("mode"), F.col("name"), F.col("oid")).alias("h"))
+    encoded = _entries(spark, d).groupBy("dir").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda e: e["h"]), "")).alias("content"))
+    return encoded.select("dir", F.explode(codecs.tree_entries("content")).alias("e")).select("dir", "e.name", "e.mode", "e.oid")
+
+
 @_query()
 def directory_trees(spark, d):
     files = _entries(spark, d).select(F.concat(F.lit("/"), "dir", F.lit("/"), "name").alias("path"), F.lit(0o100644).alias("mode"), "oid")
@@ -668,6 +697,11 @@ def hidden_filter(spark, d):
     return vfs.list_directory(named).select("page_id", "url")
 
 
+@_query(f"SELECT page_id, CASE WHEN n = 0 THEN 'root' WHEN n = 1 THEN 'branch' WHEN n = 2 THEN 'save' ELSE 'inside' END AS kind FROM (SELECT page_id, len([x FOR x IN string_split({_PATH}, '/') IF x <> '' AND x <> '.']) AS n FROM pages)")
+def path_kinds(spark, d):
+    return _paths(spark, d).select("page_id", vfs.path_kind(F.col("path")).alias("kind"))
+
+
 @_query("SELECT doc_id FROM documents WHERE octet_length(encode(text)) < 1000")
 def size_filter(spark, d):
     return table(spark, d, "documents").where(F.octet_length("text") < 1000).select("doc_id")

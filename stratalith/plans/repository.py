@@ -77,18 +77,18 @@ class Repository:
 
     # -- save and restore
 
-    def save(self, branch: str, files: DataFrame, utc: int, message: str = "", author: str = "nobody <nobody@localhost>") -> str:
+    def save(self, branch: str, files: DataFrame, utc: int, message: str = "", author: str = "nobody <nobody@localhost>", bits: int = chunking.BITS) -> str:
         """Stores files (path, mode, mtime, content) as a save on top of branch; returns its id. Only chunks, trees and
         commits that are not stored yet are written."""
         spark, ref = self.spark, f"refs/heads/{branch}"
         parent = self.ref(ref)
         rows = written(files.select("path", "mode", "mtime", "content").withColumn("id", F.monotonically_increasing_id()), "incoming")
         content = F.coalesce(F.col("content"), F.lit(b""))
-        roots = written(chunking.file_roots(rows, "id", content).withColumnRenamed("mode", "stored"), "roots")
-        cut = written(chunking.chunks(rows, "id", content), "cut")
+        roots = written(chunking.file_roots(rows, "id", content, bits).withColumnRenamed("mode", "stored"), "roots")
+        cut = written(chunking.chunks(rows, "id", content, bits), "cut")
         pack = f"{branch}-{utc}"
         pieces = cut.join(rows.select("id", content.alias("content")), "id").select("oid", chunking.cut_out(F.col("content")).alias("content")).dropDuplicates(["oid"])
-        nodes = written(chunking.file_nodes(rows, "id", content), "nodes")
+        nodes = written(chunking.file_nodes(rows, "id", content, bits), "nodes")
         pieces = pieces.unionByName(roots.where("chunks = 0").select("oid", F.lit(b"").alias("content")).distinct())
         blobs = pieces.select("oid", F.lit("blob").alias("kind"), F.octet_length("content").cast("long").alias("size"), "content")
 
@@ -207,6 +207,26 @@ class Repository:
         self._replace("chunks", chunks.join(here, "oid", "left_semi").select(*chunks.columns))
         return plan
 
+    def rewrite(self, source: Repository, src: str, branch: str, bits: int = chunking.BITS) -> str | None:
+        """Saves the history of source's branch src anew, cut with other bits; a file of which a part is missing becomes a
+        note that says so. Returns the tip."""
+        tips = self.spark.createDataFrame([(source.ref(src),)], "oid string")
+        order = history.rev_list(source.table("saves").select("oid", "parent", "utc"), tips).select("oid", "depth")
+        tip = None
+        for s in source.table("saves").join(order, "oid").dropDuplicates(["oid"]).orderBy(F.desc("depth")).collect():  # a history's rows
+            files = source.restore(s["oid"]).join(source.damaged(s["oid"]).withColumn("__lost", F.lit(True)), "path", "left")
+            note = F.encode(F.concat(F.lit("A part of this file was missing when it was rewritten: "), "path", F.lit("\n")), "UTF-8")
+            tip = self.save(branch, files.withColumn("content", F.when(F.col("__lost"), note).otherwise(F.col("content"))), s["utc"], s["message"], bits=bits)
+        return tip
+
+    def damaged(self, save: str) -> DataFrame:
+        """(path) of a save's files whose chunks are not all stored."""
+        parts = self.table("chunks").join(self.table("objects").select("oid"), "oid", "left_anti").select(F.col("root").alias("oid"))
+        files = self.table("files").where(F.col("save") == save)
+        whole = self.table("chunks").select(F.col("root").alias("oid"))
+        unknown = files.where("size > 0").join(whole, "oid", "left_anti")
+        return files.join(parts, "oid", "left_semi").select("path").unionByName(unknown.select("path")).distinct()
+
     def get(self, source: Repository, method: str, src: str, dest: str) -> str:
         """Copies what source's reference src reaches and is not here, then sets dest. Methods: ff (dest must be an ancestor),
         replace, new-tag (dest must not exist), pick (the one save on top of dest), append (its history on top of dest)."""

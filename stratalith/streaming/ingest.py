@@ -29,9 +29,11 @@ def ingest_objects(stream: DataFrame, store: str, checkpoint: str, oid: str = "o
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table (file or folder) as a stream of its files."""
+def stream_table(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
+    """A Parquet table (file or folder) as a stream of its files, at most so many of them a batch."""
     source = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_a_batch:
+        source = source.option("maxFilesPerTrigger", files_a_batch)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
         return source.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
@@ -47,6 +49,17 @@ def update_listing(listing: DataFrame, events: DataFrame, name: str = "name", ve
     return old.unionByName(new).withColumn("__n", F.row_number().over(w)).where("__n = 1 AND NOT deleted").select(*columns)
 
 
+def follow_listing(stream: DataFrame, folder: str, checkpoint: str, name: str = "name", version: str = "version"):
+    """Starts a query that keeps a listing up to date with a stream of events; each batch writes generation v<batch> of it,
+    from the one before, so a batch that runs again gives the same."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        listing = rows.sparkSession.read.parquet(f"{folder}/v{number - 1}")
+        update_listing(listing, rows, name, version).write.mode("overwrite").parquet(f"{folder}/v{number}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def frames(rows: DataFrame, channel: Column, order: str, payload: str, most: int = PACKET) -> DataFrame:
     """(channel, order, part, len, payload): payloads cut into frames of at most `most` bytes; order and part restore the sequence."""
     n = F.octet_length(payload)

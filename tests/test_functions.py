@@ -110,3 +110,10 @@ def test_metadata_records_skip_what_they_do_not_know():
     assert codecs.decode_metadata(raw) == fields
     strange = codecs.encode_vuint(99) + codecs.encode_bytes(b"later")
     assert codecs.decode_metadata(strange + raw) == fields
+
+
+def test_columns_and_trees():
+    assert codecs.columnate(["a", "bb", "c"], 10, "> ") == "> a   c   \n> bb  \n" and codecs.columnate([]) == ""
+    assert codecs.columnate(["long word", "b"], 5) == "long word\nb\n"
+    raw = b"100644 a\0" + bytes(20) + b"40000 d\0" + b"\x01" * 20
+    assert codecs.decode_tree(raw) == [(0o100644, "a", "00" * 20), (0o40000, "d", "01" * 20)]

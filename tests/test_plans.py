@@ -121,3 +121,24 @@ def test_records_split_across_batches(spark, tmp_path):
         stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     found = [x["splits"] for x in spark.read.parquet(f"{tmp_path}/out").orderBy("ord").collect()]
     assert found == [hit for hit, _ in feed_all(n.encode() for n in names)]
+
+
+def test_rewriting_and_damage(spark, tmp_path):
+    repo, new = Repository(spark, f"{tmp_path}/r"), Repository(spark, f"{tmp_path}/n")
+    contents = {"/a": os.urandom(90_000), "/b": b"small", "/e": b""}
+    oid = repo.save("main", _files(spark, contents), 1000)
+    tip = new.rewrite(repo, "refs/heads/main", "main", bits=14)
+    assert _restored(new, tip) == contents and tip != oid
+    lost = repo.table("chunks").where("len > 1000").select("oid").first()["oid"]
+    repo._replace("objects", repo.table("objects").where(F.col("oid") != lost))
+    assert [r["path"] for r in repo.damaged(oid).collect()] == ["/a"] and repo.fsck().count() == 1
+    repaired = _restored(new, new.rewrite(repo, "refs/heads/main", "repaired"))
+    assert repaired["/b"] == b"small" and repaired["/a"].startswith(b"A part of this file was missing")
+
+
+def test_a_listing_follows_events(spark, tmp_path):
+    spark.createDataFrame([("a", 1, True), ("b", 2, True)], "name string, size int, valid boolean").write.parquet(f"{tmp_path}/list/v-1")
+    for k, row in enumerate([("b", 5, 1, False), ("a", 1, 2, True)]):
+        spark.createDataFrame([row], "name string, size int, version long, deleted boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        ingest.follow_listing(ingest.stream_table(spark, f"{tmp_path}/in", 1), f"{tmp_path}/list", f"{tmp_path}/check").awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/list/v1").collect())) == [("b", 5, False)]
