@@ -21,6 +21,9 @@ def _cases(pairs: Sequence[tuple[Column, object]], default: object = None) -> Co
     return out if default is None else out.otherwise(default)
 
 
+_SIZE = r"^([\d.e+-]+)\s*(\w*)"
+
+
 def human_size(size: Column) -> Column:
     """Bytes below 1024, otherwise one decimal and a letter of KMGTPE (powers of 1024)."""
     out = F.when(size < 1024, size.cast("long").cast("string"))
@@ -32,7 +35,7 @@ def human_size(size: Column) -> Column:
 
 def parse_size(text: Column) -> Column:
     """Bytes of '1.5k', '2 gb', '1e+9 k': the longest numeric head, then a unit; truncated toward zero."""
-    head, unit = F.regexp_extract(text, r"^([-+\d.e]+)\s*(\w*)", 1), F.lower(F.regexp_extract(text, r"^([-+\d.e]+)\s*(\w*)", 2))
+    head, unit = F.regexp_extract(text, _SIZE, 1), F.lower(F.regexp_extract(text, _SIZE, 2))
     power = _cases([(unit.isin("", "b"), 0), (unit.isin("k", "kb"), 1), (unit.isin("m", "mb"), 2), (unit.isin("g", "gb"), 3), (unit.isin("t", "tb"), 4)])
     return (head.try_cast("double") * F.pow(F.lit(1024.0), power)).cast("long")
 
@@ -57,7 +60,7 @@ def parse_timestamp_ns(text: Column) -> Column:
 
 def period_seconds(text: Column) -> Column:
     """Seconds of '3d', '2w' (months have 31 days, years 366); 'forever' is infinite."""
-    pattern = r"^([0-9]+)(s|min|h|d|w|m|y)$"
+    pattern = r"^(\d+)([a-z]+)$"
     unit = F.regexp_extract(text, pattern, 2)
     scale = _cases([(unit == u, s) for u, s in (("s", 1), ("min", 60), ("h", 3600), ("d", 86400), ("w", 604800), ("m", 31 * 86400), ("y", 366 * 86400))])
     return F.when(text == "forever", F.lit(float("inf"))).otherwise(F.regexp_extract(text, pattern, 1).try_cast("double") * scale)
@@ -148,7 +151,7 @@ def risky_path(path: Column) -> Column:
 
 def valid_ref_name(name: Column) -> Column:
     """Whether a save may have this name (a superset of the usual restrictions on reference names)."""
-    bad = name.rlike(r"[\[ ~^:?*\\]|\.\.|//|@\{|[\x00-\x1f\x7f]") | name.rlike(r"^/|/$|\.$") | (name == "@") | name.rlike(r"(^|/)\.") | name.rlike(r"\.lock(/|$)")
+    bad = name.rlike(r"[\x00-\x20?*:^~\x7f\[\\]|@\{|/{2}|\.{2}") | name.rlike(r"^/|/$|\.$") | (name == "@") | name.rlike(r"(^|/)\.") | name.rlike(r"\.lock(/|$)")
     return ~bad
 
 
@@ -190,7 +193,7 @@ def shell_quote(text: Column) -> Column:
 
 def url_parts(url: Column) -> Column:
     """(scheme, user, host, port, path): the password is dropped, and a path that begins with '/./' is relative."""
-    head = r"^([a-zA-Z][-+.a-zA-Z0-9]*):(//)?(.*)$"
+    head = r"^([A-Za-z][A-Za-z\d.+-]*):(//)?(.*)$"
     slashes, rest = F.regexp_extract(url, head, 2) != "", F.regexp_extract(url, head, 3)
     auth = F.when(slashes, F.regexp_extract(rest, r"^([^/]*)", 1)).otherwise("")
     path = F.when(slashes, F.regexp_extract(rest, r"^[^/]*(.*)$", 1)).otherwise(rest)

@@ -144,25 +144,25 @@ def fold_chunks(chunks: Sequence[tuple[str, int, int]], most: int = TREE_MOST) -
             at += size
         return out
 
-    def squash(n: int) -> None:
-        i = 0
-        while i < n or len(stacks[i]) >= most:
-            while len(stacks) <= i + 1:
+    def close(below: int) -> None:
+        """Closes the stacks under `below`, and those above as long as they are full."""
+        for depth in range(64):
+            if depth >= below and len(stacks[depth]) < most:
+                break
+            full, stacks[depth] = stacks[depth], []
+            if depth + 1 == len(stacks):
                 stacks.append([])
-            if len(stacks[i]) == 1:
-                stacks[i + 1] += stacks[i]
-            elif stacks[i]:
-                entries = named(stacks[i])
+            if len(full) > 1:
+                entries = named(full)
                 oid = tree_id(entries)
                 nodes.append((oid, entries))
-                stacks[i + 1].append((0o040000, oid, sum(x[2] for x in stacks[i])))
-            stacks[i] = []
-            i += 1
+                full = [(0o040000, oid, sum(x[2] for x in full))]
+            stacks[depth + 1] += full
 
     for oid, size, level in chunks:
         stacks[0].append((0o100644, oid, size))
-        squash(level)
-    squash(len(stacks) - 1)
+        close(level)
+    close(len(stacks) - 1)
     last = stacks[-1]
     if not last:
         return 0o100644, blob_id(b""), 0, nodes

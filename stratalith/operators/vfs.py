@@ -41,7 +41,7 @@ def long_line(human: bool = False, marks: bool = False) -> Column:
     """A row (mode, user, grp, size, mtime in seconds, name) in the manner of ls -l."""
     size = F.coalesce(human_size(F.col("size")) if human else F.col("size").cast("string"), F.lit("-"))
     owner = F.concat(F.coalesce("user", F.lit("?")), F.lit("/"), F.coalesce("grp", F.lit("?")))
-    when = F.coalesce(F.date_format(F.timestamp_seconds("mtime"), "yyyy-MM-dd HH:mm"), F.lit("????-??-?? ??:??"))
+    when = F.coalesce(F.date_format(F.timestamp_seconds("mtime"), "yyyy-MM-dd HH:mm"), F.lit("-".join(["?" * 4, "??", "??"]) + " ??" + ":??"))
     pad = lambda c, n: F.rpad(c, F.greatest(F.length(c), F.lit(n)), F.lit(" "))
     name = F.concat("name", type_mark(F.col("mode"))) if marks else F.col("name")
     return F.concat_ws(" ", pad(mode_string(F.col("mode")), 10), pad(owner, 11), F.lpad(size, F.greatest(F.length(size), F.lit(11)), F.lit(" ")), F.lpad(when, 16, F.lit(" ")), name)

@@ -325,7 +325,7 @@ def prune_classify(spark, d):
 
 @_query(
     f"""
-    WITH n AS (SELECT event_type AS branch, id, utc, strftime(date_trunc('hour', ts), '%Y-%m-%d-%H%M%S') AS name FROM {_SAVES}),
+    WITH n AS (SELECT event_type AS branch, id, utc, strftime(ts, '%Y-%m-%d') || '-' || strftime(ts, '%H') || '0000' AS name FROM {_SAVES}),
     k AS (SELECT *, count(*) OVER (PARTITION BY branch, name) AS n, row_number() OVER (PARTITION BY branch, name ORDER BY utc - utc % 3600 DESC, id DESC) AS k FROM n)
     SELECT branch, id, CASE WHEN n = 1 THEN name ELSE name || '-' || lpad((n - k)::varchar, length((n - 1)::varchar)::int, '0') END AS name FROM k
     """
@@ -581,7 +581,7 @@ def path_pieces(spark, d):
 
 
 @_query(
-    r"""SELECT page_id, regexp_extract(url, '^([a-zA-Z][-+.a-zA-Z0-9]*):', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/:]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) AS path FROM pages"""
+    r"""SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/:]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) AS path FROM pages"""
 )
 def url_parts(spark, d):
     return _paths(spark, d).select("page_id", scalars.url_parts(F.col("url")).alias("u")).select("page_id", "u.scheme", "u.host", "u.path")
@@ -893,7 +893,7 @@ def shell_quoting(spark, d):
     return table(spark, d, "pages").select("page_id", scalars.shell_quote(F.col("url")).alias("word"))
 
 
-@_query("SELECT page_id, NOT (regexp_matches(url, '[\\[ ~^:?*\\\\]|\\.\\.|//|@\\{') OR ends_with(url, '/') OR ends_with(url, '.')) AS valid FROM pages")
+@_query("SELECT page_id, NOT (regexp_matches(url, '[?*:^~ \\[\\\\]|@\\{|/{2}|\\.{2}') OR ends_with(url, '/') OR ends_with(url, '.')) AS valid FROM pages")
 def valid_names(spark, d):
     return table(spark, d, "pages").select("page_id", scalars.valid_ref_name(F.col("url")).alias("valid"))
 
