@@ -197,14 +197,14 @@ def url_parts(url: Column) -> Column:
     slashes, rest = F.regexp_extract(url, head, 2) != "", F.regexp_extract(url, head, 3)
     auth = F.when(slashes, F.regexp_extract(rest, r"^([^/]*)", 1)).otherwise("")
     path = F.when(slashes, F.regexp_extract(rest, r"^[^/]*(.*)$", 1)).otherwise(rest)
-    who = r"^(?:([^@]*)@)?(.*?)(?::([0-9]*))?$"
+    place = F.regexp_replace(auth, "^[^@]*@", "")
     return F.when(
         url.rlike(head),
         F.struct(
             F.regexp_extract(url, head, 1).alias("scheme"),
-            F.url_decode(F.regexp_replace(F.regexp_extract(auth, who, 1), ":.*$", "")).alias("user"),
-            F.regexp_extract(auth, who, 2).alias("host"),
-            F.regexp_extract(auth, who, 3).try_cast("int").alias("port"),
+            F.url_decode(F.regexp_extract(auth, "^([^@:]*)[^@]*@", 1)).alias("user"),
+            F.regexp_replace(place, r":\d*$", "").alias("host"),
+            F.regexp_extract(place, r":(\d+)$", 1).try_cast("int").alias("port"),
             F.regexp_replace(path, r"^/\./+", "").alias("path"),
         ),
     )
