@@ -250,7 +250,8 @@ def commit_fields(text: Column) -> Column:
 
 def has_trailers(message: Column) -> Column:
     """Whether the last line is a trailer: a key without blanks, a colon, anything."""
-    return message.rlike(r"(?m)^[^\t ]+:.*(?:\r\n|\n)*\z")
+    last = F.element_at(F.split(F.regexp_replace(message, r"[\r\n]+$", ""), "\n"), -1)
+    return last.rlike(r"^[^ \t]+:")
 
 
 def bloom_rate(entries: Column, k: int, bits: Column) -> Column:
