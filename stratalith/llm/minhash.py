@@ -82,7 +82,7 @@ def _signer(p: MinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 least = minima(hashes, starts, a, b)
                 same = K.mix(K.slice_hashes(words.hashes, words.bounds[which], words.bounds[which + 1]))
                 keys = band_keys(least, p.bands, p.rows).view(np.int64)
-                sketch = np.ascontiguousarray((least >> K.U64(56)).astype(np.uint8))
+                sketch = np.ascontiguousarray((K.mix(least) >> K.U64(56)).astype(np.uint8))  # minima are small numbers: only mixed ones tell sets apart in a byte
                 n = len(which)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -98,8 +98,8 @@ def _signer(p: MinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def signatures(docs: DataFrame, p: MinHash) -> DataFrame:
-    """(doc_id, same, bands, sketch): `same` hashes the normalised word sequence, so copies share it; sketch has the top
-    byte of each minimum. Null or wordless texts have no row."""
+    """(doc_id, same, bands, sketch): `same` hashes the normalised word sequence, so copies share it; sketch has a
+    byte of each mixed minimum. Null or wordless texts have no row."""
     return has_text(docs).mapInArrow(_signer(p), "doc_id long, same long, bands array<long>, sketch binary")
 
 

@@ -107,3 +107,27 @@ def test_parameters():
     p = MinHash()
     a, b = p.functions()
     assert len(a) == len(b) == p.size == 160 and (a % 2 == 1).all()
+
+
+@pytest.mark.parametrize("size", [60, 400, 5000])
+def test_sketches_estimate_the_similarity_of_sets_of_any_size(spark, size):
+    """Two bytes agree by chance once in 256, however many shingles a document has."""
+    from stratalith.llm.minhash import signatures
+
+    base = tables.soup(3, size, 10**9)
+    rows, true = [(0, " ".join(base))], {}
+    for k, share in enumerate((0.0, 0.3, 0.6, 0.9), 1):
+        other = base[: int(share * size)] + tables.soup(100 + k, size - int(share * size), 10**9)
+        rows.append((k, " ".join(other)))
+        true[k] = _jaccard(base, other)
+    sketches = {r["doc_id"]: np.frombuffer(r["sketch"], dtype=np.uint8) for r in signatures(tables.docs(spark, rows), MinHash()).collect()}
+    assert all(abs((sketches[0] == sketches[k]).mean() - j) < 0.16 for k, j in true.items())
+
+
+def test_long_documents_that_share_a_third_are_left_alone(spark):
+    """They share bands often, so verification has to tell them apart."""
+    rows = []
+    for g in range(40):
+        base = tables.soup(g, 900, 10**9)
+        rows += [(10 * g + k, " ".join(base[:450] + tables.soup(1000 + 10 * g + k, 550, 10**9))) for k in range(3)]
+    assert neardup.near_duplicates(tables.docs(spark, rows)).count() <= 3
