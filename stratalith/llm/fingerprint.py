@@ -17,6 +17,8 @@ from stratalith.llm.minhash import MinHash, shared_bands, shingles, signatures
 THRESHOLD = 0.5
 #: Documents of a block; two blocks meet in one task, which so holds at most twice as many shingle sets.
 BLOCK_DOCS = 1024
+#: Copies of a block; a row that is expanded to pairs holds two blocks at most.
+BLOCK_COPIES = 64
 
 
 def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -32,12 +34,15 @@ def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
                 first = np.r_[True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]
                 hashes, doc = hashes[first], doc[first]
                 bounds = group_bounds(doc)
+                which = doc[bounds[:-1]]
+                same = K.mix(K.slice_hashes(words.hashes, words.bounds[which], words.bounds[which + 1]))  # as in minhash.signatures
                 yield pa.RecordBatch.from_arrays(
                     [
-                        block.column("doc_id").take(pa.array(doc[bounds[:-1]])).cast(pa.int64()),
+                        block.column("doc_id").take(pa.array(which)).cast(pa.int64()),
+                        pa.array(same.view(np.int64)),
                         pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds * 8), pa.py_buffer(hashes)]).cast(pa.binary()),
                     ],
-                    names=["doc_id", "shingles"],
+                    names=["doc_id", "same", "shingles"],
                 )
 
     return run
@@ -93,24 +98,14 @@ def _verifier(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return verify
 
 
-def fingerprint_pairs(docs: DataFrame, p: MinHash = MinHash(), threshold: float = THRESHOLD, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: documents whose sets of word shingles are at least `threshold` similar.
-
-    Bands put documents into candidate groups (transitively); within a group every pair is verified on its whole shingle
-    sets, in cells of two blocks of at most block_docs documents, so no group is too large for a task. Documents with
-    one and the same word sequence are represented by the least doc_id: each copy has one pair, with it, of similarity 1,
-    and the representative alone has the pairs with others.
-
-    Null ids and null, empty or wordless texts have no pairs. Of repeated rows of one doc_id, with several texts, the
-    first in the order of the word sequences' hashes counts. An empty table gives no rows. Other columns are ignored.
-    """
+def _verified(docs: DataFrame, p: MinHash, threshold: float, block_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_a, doc_b, jaccard) of the pairs of representatives, and (doc_id, same, named) with each document's representative."""
     signed = settle(signatures(docs, p), "signatures")
     shared = shared_bands(signed)
     star = shared.select("key", "same", F.min("same").over(Window.partitionBy("key")).alias("least")).where("same <> least")
     roots = components(star.select(F.col("same").alias("u"), F.col("least").alias("v")))
     one = settle(signed.groupBy("doc_id").agg(F.min("same").alias("same")), "ids")
     named = one.select("doc_id", "same", F.min("doc_id").over(Window.partitionBy("same")).alias("named"))
-    copies = named.where("doc_id <> named").select(F.col("named").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
 
     members = named.where("doc_id = named").join(roots, F.col("same") == F.col("node")).select("doc_id", "root")
     members = settle(
@@ -123,8 +118,43 @@ def fingerprint_pairs(docs: DataFrame, p: MinHash = MinHash(), threshold: float
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
     )
     texts = keep_ids(has_text(docs), members.select("doc_id"))
-    sets = texts.mapInArrow(_sets(p.shingle), "doc_id long, shingles binary")
-    sets = sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
+    sets = texts.mapInArrow(_sets(p.shingle), "doc_id long, same long, shingles binary")
+    sets = sets.groupBy("doc_id").agg(F.min_by("shingles", "same").alias("shingles"))
     placed = cells.join(sets, F.col("member") == F.col("doc_id")).select("cell", "side", "doc_id", "shingles")
-    pairs = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verifier(threshold), "doc_a long, doc_b long, jaccard double")
-    return pairs.unionByName(copies)
+    return placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verifier(threshold), "doc_a long, doc_b long, jaccard double"), named
+
+
+def fingerprint_pairs(docs: DataFrame, p: MinHash = MinHash(), threshold: float = THRESHOLD, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: documents whose sets of word shingles are at least `threshold` similar, each
+    text once.
+
+    Bands put documents into candidate groups (transitively); within a group every pair is verified on its whole shingle
+    sets, in cells of two blocks of at most block_docs documents, so no group is too large for a task. Documents with
+    one and the same word sequence are represented by the least doc_id: each copy has one pair, with it, of similarity 1,
+    and the representative alone has the pairs with others. every_pair has the pairs of all documents.
+
+    Null ids and null, empty or wordless texts have no pairs. Of repeated rows of one doc_id, with several texts, the
+    first in the order of the word sequences' hashes counts. An empty table gives no rows. Other columns are ignored.
+    """
+    pairs, named = _verified(docs, p, threshold, block_docs)
+    return pairs.unionByName(named.where("doc_id <> named").select(F.col("named").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")))
+
+
+def every_pair(docs: DataFrame, p: MinHash = MinHash(), threshold: float = THRESHOLD, block_docs: int = BLOCK_DOCS, block_copies: int = BLOCK_COPIES) -> DataFrame:
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: as fingerprint_pairs, with all documents in the place of representatives: copies
+    have a pair each with one another, and with every document that their text is similar to.
+
+    Copies travel as blocks of block_copies ids, and a row of two blocks becomes pairs only where they are written, so no
+    group of copies is too large for a task."""
+    pairs, named = _verified(docs, p, threshold, block_docs)
+    pairs = settle(pairs, "pairs")
+    of = Window.partitionBy("named")
+    copies = named.select("named", "doc_id", F.count(F.lit(1)).over(of).alias("n"), F.row_number().over(of.orderBy("doc_id")).alias("k")).where("n > 1")
+    copies = settle(copies.groupBy("named", F.floor((F.col("k") - 1) / block_copies).alias("block")).agg(F.collect_list("doc_id").alias("ids")), "copies")
+    a, b = (copies.select(F.col("named").alias(f"named_{x}"), F.col("block").alias(f"block_{x}"), F.col("ids").alias(f"ids_{x}")) for x in "ab")
+    inside = a.join(b, (F.col("named_a") == F.col("named_b")) & (F.col("block_a") <= F.col("block_b"))).select("ids_a", "ids_b", F.lit(1.0).alias("jaccard"), (F.col("block_a") == F.col("block_b")).alias("alike"))
+    across = pairs.join(a, F.col("doc_a") == F.col("named_a"), "left").join(b, F.col("doc_b") == F.col("named_b"), "left")
+    across = across.select(F.coalesce("ids_a", F.array("doc_a")).alias("ids_a"), F.coalesce("ids_b", F.array("doc_b")).alias("ids_b"), "jaccard", F.lit(False).alias("alike"))
+    rows = inside.unionByName(across).repartition("ids_a", "ids_b")
+    rows = rows.withColumn("x", F.explode("ids_a")).withColumn("y", F.explode("ids_b")).where("NOT alike OR x < y")
+    return rows.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")

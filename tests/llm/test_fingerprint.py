@@ -66,3 +66,28 @@ def test_irregular_rows(spark):
 
 def test_empty_table(spark):
     assert fingerprint.fingerprint_pairs(tables.empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_every_pair_of_copies_and_near_copies(spark, block):
+    """Copies of texts, copies of near copies, and a repeated row with two texts, against brute force."""
+    base = _family(2)[:60]
+    rows = base + [(1000 + 10 * i + k, base[i][1].upper() if k % 2 else base[i][1]) for i in range(0, 60, 2) for k in range(i % 7)]
+    found = [(r["doc_a"], r["doc_b"], r["jaccard"]) for r in fingerprint.every_pair(tables.docs(spark, rows), block_docs=block, block_copies=block).collect()]
+    true = _brute(rows, fingerprint.THRESHOLD)
+    assert len({x[:2] for x in found}) == len(found)
+    assert all(abs(true[a, b] - s) < 1e-12 for a, b, s in found)
+    texts = dict(rows)
+    alike = {(a, b) for a, b in true if texts[a].lower() == texts[b].lower()}
+    assert alike and alike <= {x[:2] for x in found}
+    assert len(found) / len(true) >= 0.95
+
+
+def test_the_text_that_counts_is_the_one_compared(spark):
+    """Of a doc_id with two texts, the pairs and their similarities are those of one text, whatever the order of the rows."""
+    base = tables.soup(1, 60, 4000)
+    one, other = " ".join(base[:55] + ["q"] * 5), " ".join(base + ["z"] * 40)
+    found = []
+    for rows in ([(1, one), (1, other), (2, " ".join(base))], [(1, other), (1, one), (2, " ".join(base))]):
+        found.append([tuple(r) for r in fingerprint.every_pair(tables.docs(spark, rows).coalesce(1)).collect()])
+    assert len(found[0]) == 1 and found[0] == found[1]
