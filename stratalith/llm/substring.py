@@ -2,7 +2,7 @@
 
 A window of L words is compared with others through its *class*: the least hash among the windows of half its length
 inside it. Equal windows have equal classes, and neighbouring windows mostly share one, so a run of windows travels as
-one row: the class, the document, the first position and four bytes a window. At the next level only positions whose
+one row: the class, the document, the first position and eight bytes a window, its whole hash. At the next level only positions whose
 windows were repeated are left, and a window of 2L words is a candidate where every window of L words inside it survived;
 its hash is made of the names of its two halves (Karp, Miller and Rosenberg), so texts are read once.
 """
@@ -37,7 +37,7 @@ def _runs(cls: np.ndarray, run: np.ndarray, doc_ids: np.ndarray, at: np.ndarray,
     bounds = np.r_[0, np.flatnonzero((cls[1:] != cls[:-1]) | (run[1:] != run[:-1])) + 1, len(cls)]
     first = bounds[:-1]
     return pa.RecordBatch.from_arrays(
-        [pa.array(cls[first].view(np.int64)), pa.array(doc_ids[first]), pa.array(at[first].astype(np.int32)), _binary((hashes >> K.U64(32)).astype(np.uint32), bounds)],
+        [pa.array(cls[first].view(np.int64)), pa.array(doc_ids[first]), pa.array(at[first].astype(np.int32)), _binary(hashes, bounds)],
         names=["class", "doc_id", "start", "hashes"],
     )
 
@@ -65,11 +65,11 @@ def _first_level(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def _windows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(name, document, position) of every window of runs."""
     raw = table.column("hashes").combine_chunks()
-    flat = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint32)
-    sizes = np.asarray(pc.binary_length(raw)).astype(np.int64) // 4
+    flat = np.frombuffer(b"".join(raw.to_pylist()), dtype=K.U64)
+    sizes = np.asarray(pc.binary_length(raw)).astype(np.int64) // 8
     row = np.repeat(np.arange(len(sizes)), sizes)
     at = table.column("start").to_numpy()[row] + np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[row]
-    names = K.mix(table.column("class").to_numpy().view(K.U64)[row] + flat.astype(K.U64) * K.U64(0xD1342543DE82EF95))
+    names = K.mix(table.column("class").to_numpy().view(K.U64)[row] + flat * K.U64(0xD1342543DE82EF95))
     return names, table.column("doc_id").to_numpy()[row], at
 
 
@@ -185,7 +185,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, part_rows: in
 
     Null ids and null, empty or shorter texts have no stretch. Repeated rows of one doc_id are one document, and where
     they have several texts, their stretches are united. An empty table gives no rows. Other columns are ignored.
-    Windows are equal when 96 bits of hashes are. However often a passage occurs, a task holds part_rows of its runs.
+    Windows are equal when their classes and their names, 64 bits of class and hash, are; a class, which all windows
+    around a frequent passage share, tells nothing apart, so unlike windows of one class are taken for equal with
+    probability 2**-64 a pair. The words are not compared again. However often a passage occurs, a task holds part_rows of its runs.
     """
     if min_words < 2:
         raise ValueError("min_words must be 2 at least")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratalith.llm import substring
@@ -90,3 +92,14 @@ def test_frequent_passages_in_parts(spark, part):
     rows = [(i, " ".join(tables.soup(i, 10, 3000) + p[r.randrange(4) : 30 - r.randrange(4)] + tables.soup(i + 500, 5, 3000))) for i in range(50)]
     found = {tuple(x) for x in substring.repeated_passages(tables.docs(spark, rows), 6, part).select("doc_id", "start_word", "end_word", "longest").collect()}
     assert found == _brute(rows, 6)
+
+
+def test_windows_of_one_class_differ_by_their_whole_hash():
+    """Windows around a frequent passage share their class, and hashes may agree in any 32 bits: only equal ones are repeated."""
+    hashes = np.array([7 << 32, (7 << 32) + 1, (8 << 32) + 1, 7 << 32], dtype=np.uint64)
+    runs = substring._runs(np.full(4, 5, dtype=np.uint64), np.arange(4), np.arange(4), np.zeros(4, dtype=np.int64), hashes)
+    names, doc, at = substring._windows(pa.Table.from_batches([runs]))
+    assert doc.tolist() == [0, 1, 2, 3] and at.tolist() == [0] * 4
+    assert len(set(names.tolist())) == 3 and names[0] == names[3]
+    found = list(substring._repeated(100)(iter([runs])))
+    assert sorted(i for b in found for i in b.column("doc_id").to_pylist()) == [0, 3]
