@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ STYLES = (
     ("* ", "> ", ""),
 )
 _MARKERS = (
-    regex.compile(r"^\s*(?:\[?(?:system|developer|context)\]?\s*:?|<\|system\|>|#+\s*(?:system|instructions?)\b:?|\*(?=\s))[ \t]*", regex.I),
+    regex.compile(r"^\s*(?:\[(?:system|developer|context)\]\s*:?|(?:system|developer|context)\b(?:\s+(?:prompt|message|instructions?)\b)?\s*:|<\|system\|>|#+\s*(?:system|instructions?)\b:?|\*(?=\s))[ \t]*", regex.I),
     regex.compile(r"^\s*(?:(?:user|human|prompter|q|question|customer)\s*:|<\|user\|>|#+\s*(?:user|human|question|prompt)\b:?|>(?=\s)|\[user\])[ \t]*", regex.I),
     regex.compile(r"^\s*(?:(?:assistant|ai|bot|a|answer|model|agent)\s*:|<\|assistant\|>|#+\s*(?:assistant|answer|response)\b:?|\[assistant\])[ \t]*", regex.I),
 )
@@ -144,14 +145,32 @@ def render(turns: Sequence[tuple[str, str]]) -> str:
     return "".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in turns)
 
 
-def to_turns(lines: Sequence[str], cuts: Sequence[int], states: np.ndarray) -> list[tuple[str, str]]:
-    """(role, text) of each turn: one begins at a first line, and wherever the role changes. Empty turns go."""
+def _forms(lines: Sequence[str], marks: Sequence[int], cuts: Sequence[int], states: np.ndarray) -> dict[str, str]:
+    """The marker, as written in lower case, that first lines of a role begin with most often, of several the one seen first; a
+    role has no entry where as many have none."""
+    seen: dict[str, Counter] = {}
+    for line, mark, cut, state in zip(lines, marks, cuts, states.tolist(), strict=True):
+        role, first = STATES[state]
+        if first:
+            seen.setdefault(role, Counter())[line[:cut].strip().lower() if mark < len(ROLES) and ROLES[mark] == role else ""] += 1
+    most = {role: max(n, key=lambda form, n=n: (n[form], not form)) for role, n in seen.items()}
+    return {role: form for role, form in most.items() if form}
+
+
+def to_turns(lines: Sequence[str], marks: Sequence[int], cuts: Sequence[int], states: np.ndarray) -> list[tuple[str, str]]:
+    """(role, text) of each turn: one begins at a first line, and wherever the role changes. Empty turns go.
+
+    A marker is cut from a role's first line only, where it is that role's and written as it is most often on first lines of
+    the role in this transcript; anything else that looks like a marker is text. A role without a mark whose only turn begins like
+    one ('Answer: 4'), and a quotation taken for a turn where '>' marks the user, can't be told from marked turns."""
+    forms = _forms(lines, marks, cuts, states)
     turns: list[tuple[str, list[str]]] = []
-    for line, cut, state in zip(lines, cuts, states.tolist(), strict=True):
+    for line, mark, cut, state in zip(lines, marks, cuts, states.tolist(), strict=True):
         role, first = STATES[state]
         if first or not turns or turns[-1][0] != role:
             turns.append((role, []))
-        turns[-1][1].append(line[cut:])
+        own = first and mark < len(ROLES) and ROLES[mark] == role and line[:cut].strip().lower() == forms.get(role)
+        turns[-1][1].append(line[cut:] if own else line)
     stripped = [(role, "\n".join(x).strip()) for role, x in turns]
     return [t for t in stripped if t[1]]
 
@@ -163,7 +182,7 @@ def _parser(model: Hmm) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 part = batch.slice(at, 512)
                 seen = [_observe(t or "") for t in part.column(1).to_pylist()]
                 decoded = model.decode([(m, s) for _, m, s, _ in seen])
-                turns = [to_turns(lines, cuts, states) for (lines, _, _, cuts), states in zip(seen, decoded, strict=True)]
+                turns = [to_turns(lines, marks, cuts, states) for (lines, marks, _, cuts), states in zip(seen, decoded, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), pa.array([[r for r, _ in t] for t in turns], pa.list_(pa.string())), pa.array([len(t) for t in turns], pa.int32()), pa.array([render(t) for t in turns], pa.string())],
                     names=["conv_id", "roles", "n_turns", "chat"],

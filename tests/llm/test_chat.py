@@ -1,6 +1,9 @@
 import itertools
+import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from stratalith.llm import chat
 
@@ -73,3 +76,49 @@ def test_empty_table(spark):
     model = chat.learn(chat.to_transcripts(_conversations(spark, [])))
     blank = spark.createDataFrame([(None, None), (1, ""), (1, " \n ")], "conv_id long, transcript string")
     assert [r["n_turns"] for r in chat.parse_transcripts(blank, model).collect()] == [0, 0, 0]
+
+
+LIKE_MARKERS = ("* a bullet", "> a quotation", "Answer: four", "Model: T", "Customer: none", "Systematic review: x", "Contextual: y", "#### Answers")
+
+
+def test_text_that_looks_like_a_marker_stays():
+    lines = ["User: Question: why?", "> a quotation", "* a bullet", "Assistant: so", "Answer: four", "Systematic review: x", "Assistant: * again", "User: Customer: none"]
+    _, marks, _, cuts = chat._observe("\n".join(lines))
+    states = np.array([2, 3, 3, 4, 5, 5, 4, 2])
+    assert chat.to_turns(lines, marks, cuts, states) == [
+        ("user", "Question: why?\n> a quotation\n* a bullet"),
+        ("assistant", "so\nAnswer: four\nSystematic review: x"),
+        ("assistant", "* again"),
+        ("user", "Customer: none"),
+    ]
+
+
+@pytest.mark.parametrize("line", ["Systematic review: x", "Contextual: y", "Developers: z"])
+def test_words_that_begin_like_a_role_are_no_markers(line):
+    assert chat.marker(line) == (3, 0)
+    assert chat.marker("System: x") == (0, 8) and chat.marker("[system] x") == (0, 9) and chat.marker("System prompt: x") == (0, 15)
+
+
+def test_rendered_turns_hold_the_original_texts(spark):
+    """No word of a turn is lost, with bullets, quotations and words like markers on later lines, and few marks stay as text.
+    Where '* ' and '> ' are the marks themselves, a quotation, or a line like another writer's mark, may be taken for a turn."""
+    talks = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").where("conv_id < 60").select("conv_id", "turn", "role", "text")
+    extra = F.element_at(F.array(*map(F.lit, LIKE_MARKERS)), (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(len(LIKE_MARKERS))) + 1).cast("int"))
+    talks = talks.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), extra, F.lit("\nand more"))).cache()
+    bare = F.pmod(F.xxhash64("conv_id"), F.lit(len(chat.STYLES))) == len(chat.STYLES) - 1
+    texts = {}
+    for r in talks.withColumn("bare", bare).orderBy("conv_id", "turn").collect():
+        texts.setdefault((r["conv_id"], r["bare"]), []).append(r["text"])
+    found = {r["conv_id"]: r["chat"] for r in chat.format_chats(talks).collect()}
+    assert len({b for _, b in texts}) == 2
+    words = more = 0
+    for (conv, bare), said in texts.items():
+        kept = re.sub(r"<\|\w+\|>", " ", found[conv]).split()
+        want = " ".join(said).split()
+        if bare:
+            kept, want = ([w for w in x if w not in (">", "Answer:", "Model:")] for x in (kept, want))
+        rest = iter(kept)
+        lost = [w for w in want if w not in rest]
+        assert not lost, (conv, lost[:3], [x[:40] for x in found[conv].split("\n")], [x[:30] for x in said])
+        words, more = words + len(want), more + len(kept) - len(want)
+    assert more < 0.01 * words, (more, words)
