@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from stratalith.storage import BROADCAST_ROWS
 
 EMPTY_ID = "0" * 40
+#: What else two restored paths have in common if they can be one file; columns that a table lacks are not compared.
+_SAME_FILE = ("uid", "gid", "user", "group", "rdev", "size", "posix1e_acl", "linux_attr", "linux_xattr")
 _COMPARED = ("size", "mtime", "ctime", "ino", "nlink")
 
 
@@ -53,8 +55,9 @@ def hardlink_targets(files: DataFrame) -> DataFrame:
 
 
 def restore_links(files: DataFrame) -> DataFrame:
-    """(path, link_to): restored paths that become links to an earlier path of the same target, content and attributes."""
-    alike = Window.partitionBy("target", "oid", "mtime", "ctime", "mode").orderBy("path")
+    """(path, link_to): restored paths that become links to an earlier path of the same target, content, times and mode, and the same
+    (or both null) owner, device, size, ACLs, attributes and xattrs, of those that files has: see _SAME_FILE."""
+    alike = Window.partitionBy("target", "oid", "mtime", "ctime", "mode", *(c for c in _SAME_FILE if c in files.columns)).orderBy("path")
     return files.where("target IS NOT NULL").select("path", F.first("path").over(alike).alias("link_to")).where("path <> link_to")
 
 

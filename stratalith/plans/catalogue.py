@@ -510,6 +510,13 @@ def restore_links(spark, d):
     return snapshot.restore_links(rows)
 
 
+@_query("SELECT path, link_to FROM (SELECT '/' || l_orderkey || '/' || l_linenumber || '/' || l_partkey AS path, min('/' || l_orderkey || '/' || l_linenumber || '/' || l_partkey) OVER (PARTITION BY l_suppkey, l_returnflag, l_linestatus, CASE WHEN l_quantity > 10 THEN l_linenumber END) AS link_to FROM lineitem) WHERE path <> link_to")
+def restore_links_of_owners(spark, d):
+    user, uid = F.col("l_linestatus").alias("user"), F.when(F.col("l_quantity") > 10, F.col("l_linenumber")).alias("uid")
+    rows = table(spark, d, "lineitem").select(F.concat_ws("/", F.lit(""), "l_orderkey", "l_linenumber", "l_partkey").alias("path"), F.col("l_suppkey").alias("target"), F.col("l_returnflag").alias("oid"), F.lit(0).alias("mtime"), F.lit(0).alias("ctime"), F.lit(0).alias("mode"), user, uid)
+    return snapshot.restore_links(rows)
+
+
 @_query(
     "WITH r AS (SELECT DISTINCT p_brand || ' ' || p_type || ' ' || p_size AS rec FROM part) SELECT rec, (sum(octet_length(encode(rec))) OVER (ORDER BY substr(md5(rec), 1, 3), md5(rec), rec ROWS UNBOUNDED PRECEDING) - octet_length(encode(rec)))::bigint AS ofs FROM r"
 )

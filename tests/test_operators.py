@@ -135,3 +135,9 @@ def test_device_and_order_filters(spark):
     rows = spark.createDataFrame([(1, False, "c", "l", 1), (2, True, "b", "l", 2), (2, False, "b", "l", 3)], "dev int, is_mount boolean, name string, listing string, n int")
     assert snapshot.same_device(rows, F.lit(1)).count() == 2
     assert [r["n"] for r in snapshot.order_violations(rows, "n").collect()] == [3]
+
+
+def test_links_are_of_one_owner(spark):
+    rows = [("/a", 1, None, b"x"), ("/b", 1, None, b"x"), ("/c", 2, None, b"x"), ("/d", 1, "g", b"x"), ("/e", 1, None, None), ("/f", 1, None, None)]
+    files = spark.createDataFrame([(p, "/t", "o", 1, 1, 33188, *r) for p, *r in rows], "path string, target string, oid string, mtime long, ctime long, mode int, uid int, group string, linux_xattr binary")
+    assert {tuple(r) for r in snapshot.restore_links(files).collect()} == {("/b", "/a"), ("/f", "/e")}
