@@ -472,6 +472,22 @@ def index_merge_precedence(spark, d):
     return snapshot.merge_listings(*ends).select("name", "id")
 
 
+@_query(
+    """
+    WITH u AS (SELECT '/' || p_brand || '/' || p_partkey AS name, p_retailprice > 1000 AS valid, CASE WHEN p_type = 'SMALL' THEN 0 ELSE 1 END AS ctime, 0 AS f FROM part WHERE p_size <= 45
+    UNION ALL SELECT '/' || p_brand || '/' || p_partkey, p_size % 2 = 0, CASE WHEN p_type = 'LARGE' THEN 0 ELSE 1 END, 1 FROM part WHERE p_size >= 5)
+    SELECT name, f AS listing FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY valid::int, (ctime = 0)::int, f) AS n FROM u) WHERE n = 1
+    """
+)
+def index_merge_whole(spark, d):
+    """As index_merge_precedence, with two listings of the whole table that share most names."""
+    part, name = table(spark, d, "part"), F.concat(F.lit("/"), "p_brand", F.lit("/"), "p_partkey").alias("name")
+    real = lambda kind: F.when(F.col("p_type") == kind, 0).otherwise(1).alias("ctime")
+    first = part.where("p_size <= 45").select(name, (F.col("p_retailprice") > 1000).alias("valid"), real("SMALL"), F.lit(0).alias("listing"))
+    second = part.where("p_size >= 5").select(name, (F.col("p_size") % 2 == 0).alias("valid"), real("LARGE"), F.lit(1).alias("listing"))
+    return snapshot.merge_listings(first, second).select("name", "listing")
+
+
 @_query(
     """
     WITH f AS (SELECT '/' || p_brand || '/' || p_name || '/' || p_partkey AS name, p_size < 50 AS valid FROM part), b AS (SELECT name FROM f WHERE NOT valid),
