@@ -388,6 +388,14 @@ def fast_forwards(spark, d):
     return history.fast_forwards(commits.where("parent IS NOT NULL").select(F.col("oid").alias("child"), "parent"), a.join(b, "o_custkey").select("src", "dest"))
 
 
+@_query(f"WITH c AS {_COMMITS} SELECT a.oid AS src, b.oid AS dest, a.back <= b.back AS allowed FROM c a JOIN c b ON a.o_custkey = b.o_custkey")
+def fast_forwards_of_all(spark, d):
+    """As fast_forwards, for all ordered pairs of a customer's commits."""
+    commits = _commits(spark, d)
+    a, b = (commits.select(F.col("oid").alias(x), "o_custkey") for x in ("src", "dest"))
+    return history.fast_forwards(commits.where("parent IS NOT NULL").select(F.col("oid").alias("child"), "parent"), a.join(b, "o_custkey").select("src", "dest"))
+
+
 _REFS = f"(SELECT CASE WHEN n_chars > 500 THEN 'refs/tags/' ELSE 'refs/heads/' END || source || '-' || doc_id AS name, {_OID} AS oid FROM documents)"
 
 
