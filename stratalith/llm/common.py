@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one 8-byte key that a broadcast may hold (about 16 MB); beyond it the same join shuffles.
@@ -19,19 +22,32 @@ BROADCAST_KEYS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests, one machine)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one on a local master (tests,
+    one machine); on any other master a folder of this machine would not be shared, so that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = getattr(spark, "_stratalith_dir", None)
         if where is None:
+            master = spark.sparkContext.master
+            if not re.fullmatch(r"local(\[.*\])?", master):
+                raise RuntimeError(f"spark.checkpoint.dir is not set; on {master} it has to name a folder that all executors share")
             local = tempfile.mkdtemp(prefix="stratalith-")
             atexit.register(shutil.rmtree, local, True)
             where = spark._stratalith_dir = f"file://{local}"
     return where.rstrip("/")
 
 
+def written_paths(spark: SparkSession) -> list[str]:
+    """Folders under shared_dir() that this session has written and not deleted, the oldest first."""
+    if not hasattr(spark, "_stratalith_written"):
+        spark._stratalith_written = []
+    return spark._stratalith_written
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    written_paths(spark).append(path)
+    return path
 
 
 def settle(df: DataFrame, what: str) -> DataFrame:
@@ -41,15 +57,28 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes folders of written_paths() that nothing reads any more."""
+    known = written_paths(spark)
+    for name in [p for p in paths if p in known]:
+        known.remove(name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_settled(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes settled tables that nothing reads any more."""
-    root = shared_dir(spark)
-    for table in tables:
-        for file in table.inputFiles()[:1]:
-            folder = file.rsplit("/", 1)[0]
-            if folder.split("://")[-1].lstrip("/").startswith(root.split("://")[-1].lstrip("/")):
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    folders = {file.rsplit("/", 2)[-2] for table in tables for file in table.inputFiles()[:1]}
+    release(spark, [p for p in written_paths(spark) if p.rsplit("/", 1)[-1] in folders])
+
+
+def settle_last(make: Callable[[], DataFrame], spark: SparkSession, what: str) -> DataFrame:
+    """Settles what make() returns, and deletes whatever else was written for it meanwhile."""
+    before = set(written_paths(spark))
+    out = settle(make(), what)
+    own = written_paths(spark)[-1]
+    release(spark, [p for p in written_paths(spark) if p not in before and p != own])
+    return out
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -59,11 +88,26 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id is among ids (one column of the same name). The ids are broadcast only if counted to be few."""
-    few = ids.count() <= BROADCAST_KEYS
-    side = ids.select(F.col(column).alias("__sl_id"))
-    return docs.join(F.broadcast(side) if few else side, docs[column] == F.col("__sl_id"), "left_semi")
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken, name = {c.lower() for c in df.columns}, stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def few(side: DataFrame) -> DataFrame:
+    """side, marked for broadcast if it is counted to have BROADCAST_KEYS rows at most. It should be a written table."""
+    return F.broadcast(side) if side.count() <= BROADCAST_KEYS else side
+
+
+def matching(docs: DataFrame, keys: DataFrame, on: Mapping[str, Column], how: str) -> DataFrame:
+    """Rows of docs with (how = left_semi) or without (left_anti) a row of keys whose columns equal the expressions of `on`.
+
+    keys are broadcast if counted to be few; else the join shuffles, and splits hot keys at run time."""
+    names = {column: free_name(docs, f"__sl_{column}") for column in on}
+    side = few(keys.select(*(F.col(column).alias(name) for column, name in names.items())))
+    return docs.join(side, reduce(and_, (value == F.col(names[column]) for column, value in on.items())), how)
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, most: int = 1 << 62) -> Iterator[pa.Table]:

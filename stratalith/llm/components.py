@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalith.llm.common import drop_settled, settle
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """The least neighbour of every u; aggregated before it is shuffled, so that a hot node costs no task more than others."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-    return both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(both).select("u", F.least("m", "u").alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """edges has u > v."""
-    marked = edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-    linked = marked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.union(marked.select("u", F.col("m").alias("v"))).distinct()
+    least = _least(edges)
+    linked = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return linked.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Columns (node, root) for every node of an edge of `edges` (u, v: BIGINT): root is the least node of its component.
 
-    Each round is two shuffles of the edge list, which only shrinks; O(log^2 n) rounds suffice. Every round is written
-    to the shared folder. Self loops and repeated edges are allowed; edges with a null end are ignored; no edges give
-    no rows. A node whose edges are all self loops is its own root.
+    Each round joins the edge list with the least neighbours of its nodes, twice; the list only shrinks, and O(log^2 n)
+    rounds suffice. The edges of a hot node are never brought together: its least neighbour is aggregated map-side, and the
+    join may split them. Every round is written to the shared folder. Self loops and repeated edges are allowed; edges with
+    a null end are ignored; no edges give no rows. A node whose edges are all self loops is its own root.
     """
     spark = edges.sparkSession
     edges = edges.where("u IS NOT NULL AND v IS NOT NULL")

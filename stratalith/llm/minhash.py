@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalith.llm import textkernel as K
-from stratalith.llm.common import has_text
+from stratalith.llm.common import few, has_text, settle
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ def shingles(words: K.Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     hashes, doc = hashes[inside], doc[inside]
     short = np.flatnonzero((counts > 0) & (counts < k))
     if len(short):
-        whole = K.mix(K.slice_hashes(words.hashes, words.bounds[short], words.bounds[short + 1]))
+        whole = words.sequences(short)
         at = np.searchsorted(doc, short)
         hashes, doc = np.insert(hashes, at, whole), np.insert(doc, at, short)
     return hashes, doc, np.flatnonzero(counts == 0)
@@ -80,7 +80,7 @@ def _signer(p: MinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 starts = np.r_[0, np.flatnonzero(doc[1:] != doc[:-1]) + 1]
                 which = doc[starts]
                 least = minima(hashes, starts, a, b)
-                same = K.mix(K.slice_hashes(words.hashes, words.bounds[which], words.bounds[which + 1]))
+                same = words.sequences(which)
                 keys = band_keys(least, p.bands, p.rows).view(np.int64)
                 sketch = np.ascontiguousarray((K.mix(least) >> K.U64(56)).astype(np.uint8))  # minima are small numbers: only mixed ones tell sets apart in a byte
                 n = len(which)
@@ -103,19 +103,31 @@ def signatures(docs: DataFrame, p: MinHash) -> DataFrame:
     return has_text(docs).mapInArrow(_signer(p), "doc_id long, same long, bands array<long>, sketch binary")
 
 
-def shared_bands(signed: DataFrame) -> DataFrame:
-    """(key, same) for band values that at least two different word sequences share; of several keys with exactly the same
-    members, one stays. One shuffle of the band values; the second moves only what is shared."""
-    from pyspark.sql import Window
-
-    rows = signed.select(F.explode("bands").alias("key"), "same").repartition("key").dropDuplicates(["key", "same"])
-    of = Window.partitionBy("key")
-    rows = rows.select(
-        "key",
-        "same",
-        F.count(F.lit(1)).over(of).alias("n"),
-        F.min("same").over(of).alias("least"),
-        F.sum(F.xxhash64("same").bitwiseAND(F.lit((1 << 40) - 1))).over(of).alias("members"),
-    ).where("n > 1")
-    alike = Window.partitionBy("n", "least", "members")
-    return rows.withColumn("one", F.min("key").over(alike)).where("key = one").select("key", "same")
+#: Rows of a bucket that are compared in one task; larger buckets are cut into blocks, and every two blocks meet in a task.
+BLOCK_ROWS = 4096
+
+
+def sequences(signed: DataFrame) -> DataFrame:
+    """(same, bands, sketch, first_doc): one row a word sequence. Copies are put together before they are shuffled."""
+    return signed.groupBy("same").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("first_doc"))
+
+
+def shared_bands(single: DataFrame) -> DataFrame:
+    """(key, same, n) for band values that n > 1 word sequences share, of a table of sequences(); of several keys with exactly the
+    same members, one stays. Members are the same where their number, their least and the exclusive or of their hashes are."""
+    rows = single.select(F.explode("bands").alias("key"), "same")
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("same").alias("least"), F.bit_xor(F.xxhash64("same")).alias("members")).where("n > 1")
+    keys = settle(counted.groupBy("n", "least", "members").agg(F.min("key").alias("key")).select("key", "n"), "keys")
+    return rows.join(few(keys), "key")
+
+
+def in_cells(rows: DataFrame, group: str, member: str, block_rows: int) -> DataFrame:
+    """rows (with n, the size of the group) with `cell` and `side`: each group of at most block_rows is a cell; of a larger one
+    every two blocks are, and every block with itself. Members fall into blocks by hash, so no group is brought together.
+
+    side: 2 in a group's or block's own cell, else 0 in the lower and 1 in the higher block."""
+    blocks = F.ceil(F.col("n") / block_rows)
+    placed = rows.withColumn("block", F.pmod(F.xxhash64(group, member), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    own = F.col("block") == F.col("other")
+    cell = F.when(blocks == 1, F.col(group)).otherwise(F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other")))
+    return placed.withColumn("cell", cell).withColumn("side", F.when(own, 2).when(F.col("block") < F.col("other"), 0).otherwise(1)).drop("block", "other", "n")

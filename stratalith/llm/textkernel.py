@@ -3,7 +3,8 @@
 Everything works on blocks of whole documents as one byte array, so the cost is a few numpy passes per byte and
 no Python work per word. Hashes are 64-bit polynomials evaluated through prefix sums: the base is odd, hence
 invertible modulo 2**64, so the sum over any slice can be shifted back to position 0 and equal slices get equal
-hashes wherever they stand.
+hashes wherever they stand. Such polynomials have made collisions from 1024 values on (Thue-Morse words), so whatever may
+be that long is hashed by sequence_hashes() instead.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_WORDS = 0xD6E8FEB86659FD93
+_KEY = 0xC6A4A7935BD1E995
 BLOCK_BYTES = 1 << 20
+#: Longest slice that polynomial hashes are used for.
+SHORT = 256
 
 _SPACE = np.ones(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = False
@@ -63,6 +67,21 @@ def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return (sums[ends] - sums[starts]) * down[starts]
 
 
+def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Mixed hash of values[starts[i]:ends[i]] for every i, of any length: the sum of a random-looking number for each value
+    at its position, which no pattern of values makes collide."""
+    lengths = ends - starts
+    out = mix(lengths.astype(U64) + U64(_KEY))
+    if not lengths.any():
+        return out
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    each = mix(values[place + np.repeat(starts, lengths)].astype(U64) ^ mix(place.astype(U64) + U64(_KEY)))
+    full = lengths > 0
+    out[full] += np.add.reduceat(each, first[full])
+    return mix(out)
+
+
 class Words:
     """The words of a block of documents: hash of each, byte span of each, and where each document's words begin."""
 
@@ -86,6 +105,10 @@ class Words:
         # A document shorter than k has no window: everything from its first word on is masked above.
         return h, inside[: n - k + 1]
 
+    def sequences(self, which: np.ndarray) -> np.ndarray:
+        """Hash of all words, in order, of each of the documents `which`."""
+        return sequence_hashes(self.hashes, self.bounds[which], self.bounds[which + 1])
+
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
@@ -113,6 +136,9 @@ def split(texts: pa.Array, *, letters_only: bool) -> Words:
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
     hashes = mix(slice_hashes(data, starts, ends))
+    long = np.flatnonzero(ends - starts > SHORT)
+    if len(long):
+        hashes[long] = sequence_hashes(data, starts[long], ends[long])
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets), offsets)
 
 

@@ -72,6 +72,25 @@ def test_against_brute_force(spark):
     assert all(i in expected for i in found)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_forest_across_two_blocks(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 256, (4, 160), dtype=np.uint8)
+    rows = np.vstack([np.where(rng.random(160) < 0.3, rng.integers(0, 256, 160), base[i % 4]).astype(np.uint8) for i in range(30)])
+    side = rng.integers(0, 2, 30)
+    need = 0.45 * (1 - 1 / 256) + 1 / 256
+    full = [(i, j) for i in range(30) for j in range(i + 1, 30) if side[i] != side[j] and (rows[i] == rows[j]).mean() >= need]
+    assert _groups(neardup.alike_edges(rows, 0.45, side)) == _groups(full)
+
+
+def test_hot_bands_of_unlike_documents(spark):
+    """Documents that share a third and so some bands: cutting their buckets into blocks changes no group."""
+    shared = tables.soup(1, 60, 10**9)
+    rows = [(i, " ".join(shared + tables.soup(10 + i % 250, 110, 10**9) + [f"end{i}"])) for i in range(300)]
+    found = [sorted(tuple(r) for r in neardup.near_duplicates(tables.docs(spark, rows), block_rows=b).collect()) for b in (8, 4096)]
+    assert found[0] == found[1] and len(found[0]) >= 50
+
+
 def test_case_and_punctuation_do_not_count(spark):
     a = tables.soup(5, 60)
     found = neardup.near_duplicates(tables.docs(spark, [(1, " ".join(a)), (2, ", ".join(a).upper() + "!")])).collect()

@@ -40,3 +40,18 @@ def test_sliding_min():
     x = np.random.default_rng(0).integers(0, 99, 50)
     for width in (1, 2, 3, 5, 8, 50):
         assert K.sliding_min(x, width).tolist() == [min(x[i : i + width]) for i in range(51 - width)]
+
+
+def _thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_thue_morse_words_and_sequences_differ():
+    """Polynomials modulo 2**64 take these for equal, whatever their base."""
+    text = ["".join(_thue_morse(4096, "a", "b")), "".join(_thue_morse(4096, "b", "a")), " ".join(_thue_morse(4096, "a", "b")), " ".join(_thue_morse(4096, "b", "a"))]
+    words = K.split(pa.array(text), letters_only=True)
+    assert words.hashes[0] != words.hashes[1]
+    found = words.sequences(np.arange(4))
+    assert len(set(found.tolist())) == 4
+    again = K.split(pa.array(["x", *text[::-1]]), letters_only=True).sequences(np.arange(5))
+    assert again[1:][::-1].tolist() == found.tolist()
