@@ -1,4 +1,7 @@
-"""Document fingerprints: MinHash bands joined in Spark, every pair of a candidate group verified by exact Jaccard similarity."""
+"""Document fingerprints: MinHash bands joined in Spark, every pair of a candidate group verified by exact Jaccard similarity.
+
+Documents with one word sequence are a class; links join different classes. The result has a row a document, with its class
+and the number of its links, so it grows with the documents and not with the pairs."""
 
 from __future__ import annotations
 
@@ -6,22 +9,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalith.llm import textkernel as K
-from stratalith.llm.common import group_bounds, has_text, keep_ids, settle, sorted_groups
+from stratalith.llm.common import few, group_bounds, has_text, settle, sorted_groups
 from stratalith.llm.components import components
-from stratalith.llm.minhash import MinHash, shared_bands, shingles, signatures
+from stratalith.llm.minhash import MinHash, in_cells, sequences, shingles, signatures
+from stratalith.llm.neardup import alike
 
 THRESHOLD = 0.5
-#: Documents of a block; two blocks meet in one task, which so holds at most twice as many shingle sets.
+#: Classes of a block; two blocks meet in one task, which so holds at most twice as many shingle sets.
 BLOCK_DOCS = 1024
-#: Copies of a block; a row that is expanded to pairs holds two blocks at most.
-BLOCK_COPIES = 64
+#: A pair is a candidate if its signatures agree in so many standard deviations less than the threshold (one pair in 30,000 at
+#: the threshold itself has less).
+DEVIATIONS = 4
 
 
 def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (text, same, root, n), those whose text is the word sequence `same`, with its sorted distinct shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in K.blocks(batch, "text"):
@@ -35,27 +42,22 @@ def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
                 hashes, doc = hashes[first], doc[first]
                 bounds = group_bounds(doc)
                 which = doc[bounds[:-1]]
-                same = K.mix(K.slice_hashes(words.hashes, words.bounds[which], words.bounds[which + 1]))  # as in minhash.signatures
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        block.column("doc_id").take(pa.array(which)).cast(pa.int64()),
-                        pa.array(same.view(np.int64)),
-                        pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds * 8), pa.py_buffer(hashes)]).cast(pa.binary()),
-                    ],
-                    names=["doc_id", "same", "shingles"],
-                )
+                rows = block.take(pa.array(which))
+                sets = pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(hashes)])
+                own = words.sequences(which).view(np.int64) == rows.column("same").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("same", "root", "n")), sets], names=["same", "root", "n", "shingles"]).filter(pa.array(own))
 
     return run
 
 
-def jaccard_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, similarity) of the pairs i in left, j in right, i < j, of sorted sets whose exact Jaccard similarity reaches the threshold.
+def similarities(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Exact Jaccard similarity of each of sets[left] (rows) with each other of sets[right] (columns), all sorted and not empty.
 
     Intersections are products of 0/1 matrices over the elements that more than one set holds, a slab of columns at a time."""
     sizes = np.array([len(s) for s in sets])
     if len(sets) == 2:
         shared = np.intersect1d(sets[0], sets[1], assume_unique=True).size
-        common = np.array([[0, shared], [shared, 0]], dtype=np.float32)
+        common = np.array([[sizes[0], shared], [shared, sizes[1]]], dtype=np.float32)
     else:
         flat = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), sizes)
@@ -73,88 +75,94 @@ def jaccard_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, t
             matrix[owner[a:b], column[a:b] - lo] = 1
             common += matrix @ matrix.T
     common = common[np.ix_(left, right)].astype(np.int64)
-    similarity = common / (sizes[left][:, None] + sizes[right][None, :] - common)
-    x, y = np.nonzero((similarity >= threshold) & (left[:, None] < right[None, :]))
-    return left[x], right[y], similarity[x, y]
-
-
-def _verifier(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, "cell"):
-            cells = group_bounds(table.column("cell").to_numpy())
-            ids, side = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
-            raw = table.column("shingles").to_pylist()
-            for lo, hi in zip(cells[:-1], cells[1:], strict=True):
-                # Sides: 0 left, 1 right, 2 both (the cell of a block with itself).
-                order = lo + np.argsort(ids[lo:hi], kind="stable")
-                sides = side[order]
-                i, j, s = jaccard_pairs([np.frombuffer(raw[x], dtype=K.U64) for x in order], np.flatnonzero(sides != 1), np.flatnonzero(sides != 0), threshold)
-                if not (sides == 2).any():  # across blocks the lesser id may be on either side
-                    i2, j2, s2 = jaccard_pairs([np.frombuffer(raw[x], dtype=K.U64) for x in order], np.flatnonzero(sides == 1), np.flatnonzero(sides == 0), threshold)
-                    i, j, s = np.r_[i, i2], np.r_[j, j2], np.r_[s, s2]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[order[i]]), pa.array(ids[order[j]]), pa.array(s)], names=["doc_a", "doc_b", "jaccard"])
-
-    return verify
-
-
-def _verified(docs: DataFrame, p: MinHash, threshold: float, block_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_a, doc_b, jaccard) of the pairs of representatives, and (doc_id, same, named) with each document's representative."""
-    signed = settle(signatures(docs, p), "signatures")
-    shared = shared_bands(signed)
-    star = shared.select("key", "same", F.min("same").over(Window.partitionBy("key")).alias("least")).where("same <> least")
-    roots = components(star.select(F.col("same").alias("u"), F.col("least").alias("v")))
-    one = settle(signed.groupBy("doc_id").agg(F.min("same").alias("same")), "ids")
-    named = one.select("doc_id", "same", F.min("doc_id").over(Window.partitionBy("same")).alias("named"))
-
-    members = named.where("doc_id = named").join(roots, F.col("same") == F.col("node")).select("doc_id", "root")
-    members = settle(
-        members.select("doc_id", "root", F.floor((F.row_number().over(Window.partitionBy("root").orderBy("doc_id")) - 1) / block_docs).alias("block")), "members"
-    )
-    numbered = members.withColumn("last", F.max("block").over(Window.partitionBy("root")))
-    cells = numbered.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).select(
-        F.col("doc_id").alias("member"),
-        F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
-        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
-    texts = keep_ids(has_text(docs), members.select("doc_id"))
-    sets = texts.mapInArrow(_sets(p.shingle), "doc_id long, same long, shingles binary")
-    sets = sets.groupBy("doc_id").agg(F.min_by("shingles", "same").alias("shingles"))
-    placed = cells.join(sets, F.col("member") == F.col("doc_id")).select("cell", "side", "doc_id", "shingles")
-    return placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verifier(threshold), "doc_a long, doc_b long, jaccard double"), named
+    return common / (sizes[left][:, None] + sizes[right][None, :] - common)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per cell the classes of its rows, of its columns, and their similarities; a class's with itself are -1."""
+    for table in sorted_groups(batches, "cell"):
+        bounds = group_bounds(table.column("cell").to_numpy())
+        same, side = table.column("same").to_numpy(), table.column("side").to_numpy()
+        raw = table.column("shingles").to_pylist()
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            # A repeated row of the document that stands for its class brings the set twice.
+            names, first = np.unique(same[lo:hi], return_index=True)
+            sides, sets = side[lo:hi][first], [np.frombuffer(raw[lo + x], dtype=K.U64) for x in first]
+            left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
+            if len(names) < 2 or not len(left) or not len(right):
+                continue
+            found = similarities(sets, left, right)
+            found[left[:, None] == right[None, :]] = -1
+            yield names[left], names[right], found
+
+
+def _pairs(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right, found in _cells(batches):
+            x, y = np.nonzero(found >= threshold)
+            once = left[x] < right[y] if np.array_equal(left, right) else np.ones(len(x), dtype=bool)
+            x, y = x[once], y[once]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(left[x]), pa.array(right[y]), pa.array(found[x, y])], names=["a", "b", "jaccard"])
 
+    return run
 
-def fingerprint_pairs(docs: DataFrame, p: MinHash = MinHash(), threshold: float = THRESHOLD, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: documents whose sets of word shingles are at least `threshold` similar, each
-    text once.
 
-    Bands put documents into candidate groups (transitively); within a group every pair is verified on its whole shingle
-    sets, in cells of two blocks of at most block_docs documents, so no group is too large for a task. Documents with
-    one and the same word sequence are represented by the least doc_id: each copy has one pair, with it, of similarity 1,
-    and the representative alone has the pairs with others. every_pair has the pairs of all documents.
+def _counts(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right, found in _cells(batches):
+            sides = ((left, found),) if np.array_equal(left, right) else ((left, found), (right, found.T))
+            for names, rows in sides:
+                links = np.count_nonzero(rows >= threshold, axis=1)
+                any_ = links > 0
+                if any_.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(names[any_]), pa.array(links[any_].astype(np.int64)), pa.array(rows[any_].max(axis=1))], names=["same", "links", "closest"])
+
+    return run
+
 
-    Null ids and null, empty or wordless texts have no pairs. Of repeated rows of one doc_id, with several texts, the
+def _candidates(docs: DataFrame, p: MinHash, threshold: float, block_docs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, same) of every document, (same, class_id, class_size) of every class, and cells of shingle sets to compare."""
+    signed = settle(signatures(docs, p), "signatures")
+    single = settle(sequences(signed), "sequences")
+    need = max(0.0, threshold - DEVIATIONS * (threshold * (1 - threshold) / p.size) ** 0.5)
+    roots = components(alike(single, p, need))
+    ids = settle(signed.groupBy("doc_id").agg(F.min("same").alias("same")), "ids")
+    classes = settle(ids.groupBy("same").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes")
+    members = settle(roots.join(classes, F.col("node") == F.col("same")).select("root", "same", "class_id"), "members")
+    sizes = settle(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    members = settle(members.join(few(sizes), "root"), "members")
+    texts = has_text(docs).join(few(members), F.col("doc_id") == F.col("class_id")).select("text", "same", "root", "n")
+    sets = texts.mapInArrow(_sets(p.shingle), "same long, root long, n long, shingles binary")
+    cells = in_cells(sets, "root", "same", block_docs).select("cell", "side", "same", "shingles")
+    return ids, classes, cells.repartition("cell").sortWithinPartitions("cell")
+
+
+def fingerprints(docs: DataFrame, p: MinHash = MinHash(), threshold: float = THRESHOLD, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(doc_id, class_id, class_size, n_links, closest), a row a document with words: class_id is the least doc_id with the same
+    word sequence, class_size the number of documents that have it, n_links the number of other classes whose sets of word
+    shingles are at least `threshold` similar, and closest the greatest such similarity (null without a link).
+
+    Pairs that share a band, and whose signatures come near the threshold, link candidate groups (transitively). In a group
+    every pair is verified on its whole shingle sets, in cells of two blocks of about block_docs classes, so no group is too
+    large for a task; only counts leave a cell. fingerprint_pairs() lists the links themselves.
+
+    Null ids and null, empty or wordless texts have no row. Of repeated rows of one doc_id, with several texts, the
     first in the order of the word sequences' hashes counts. An empty table gives no rows. Other columns are ignored.
     """
-    pairs, named = _verified(docs, p, threshold, block_docs)
-    return pairs.unionByName(named.where("doc_id <> named").select(F.col("named").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")))
-
-
-def every_pair(docs: DataFrame, p: MinHash = MinHash(), threshold: float = THRESHOLD, block_docs: int = BLOCK_DOCS, block_copies: int = BLOCK_COPIES) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: as fingerprint_pairs, with all documents in the place of representatives: copies
-    have a pair each with one another, and with every document that their text is similar to.
-
-    Copies travel as blocks of block_copies ids, and a row of two blocks becomes pairs only where they are written, so no
-    group of copies is too large for a task."""
-    pairs, named = _verified(docs, p, threshold, block_docs)
-    pairs = settle(pairs, "pairs")
-    of = Window.partitionBy("named")
-    copies = named.select("named", "doc_id", F.count(F.lit(1)).over(of).alias("n"), F.row_number().over(of.orderBy("doc_id")).alias("k")).where("n > 1")
-    copies = settle(copies.groupBy("named", F.floor((F.col("k") - 1) / block_copies).alias("block")).agg(F.collect_list("doc_id").alias("ids")), "copies")
-    a, b = (copies.select(F.col("named").alias(f"named_{x}"), F.col("block").alias(f"block_{x}"), F.col("ids").alias(f"ids_{x}")) for x in "ab")
-    inside = a.join(b, (F.col("named_a") == F.col("named_b")) & (F.col("block_a") <= F.col("block_b"))).select("ids_a", "ids_b", F.lit(1.0).alias("jaccard"), (F.col("block_a") == F.col("block_b")).alias("alike"))
-    across = pairs.join(a, F.col("doc_a") == F.col("named_a"), "left").join(b, F.col("doc_b") == F.col("named_b"), "left")
-    across = across.select(F.coalesce("ids_a", F.array("doc_a")).alias("ids_a"), F.coalesce("ids_b", F.array("doc_b")).alias("ids_b"), "jaccard", F.lit(False).alias("alike"))
-    rows = inside.unionByName(across).repartition("ids_a", "ids_b")
-    rows = rows.withColumn("x", F.explode("ids_a")).withColumn("y", F.explode("ids_b")).where("NOT alike OR x < y")
-    return rows.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    ids, classes, cells = _candidates(docs, p, threshold, block_docs)
+    linked = cells.mapInArrow(_counts(threshold), "same long, links long, closest double").groupBy("same").agg(F.sum("links").alias("n_links"), F.max("closest").alias("closest"))
+    facts = settle(classes.join(settle(linked, "linked"), "same", "left").where("class_size > 1 OR n_links > 0"), "facts")
+    return ids.join(few(facts), "same", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "closest")
+
+
+def fingerprint_pairs(docs: DataFrame, p: MinHash = MinHash(), threshold: float = THRESHOLD, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: the links that fingerprints() counts, between the class_ids of their classes, and
+    of every copy one pair of similarity 1 with its class_id. See there for the rest."""
+    ids, classes, cells = _candidates(docs, p, threshold, block_docs)
+    named = classes.select("same", "class_id")
+    pairs = settle(cells.mapInArrow(_pairs(threshold), "a long, b long, jaccard double"), "pairs")
+    a, b = named.select(F.col("same").alias("a"), F.col("class_id").alias("x")), named.select(F.col("same").alias("b"), F.col("class_id").alias("y"))
+    links = pairs.join(a, "a").join(b, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    copies = ids.join(few(settle(classes.where("class_size > 1").select("same", "class_id"), "copied")), "same").where("doc_id <> class_id")
+    return links.unionByName(copies.select(F.col("class_id").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")))

@@ -46,7 +46,7 @@ def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.every_pair(_table(spark, sf_dir, "documents"))
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

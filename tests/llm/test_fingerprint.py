@@ -45,12 +45,14 @@ def test_against_brute_force(spark, block):
     assert len(found) / len(true) >= 0.95
 
 
-def test_jaccard_pairs_of_sets():
+def test_similarities_of_sets():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (30, 40, 5, 60, 1, 30)]
-    i, j, s = fingerprint.jaccard_pairs(sets, np.arange(6), np.arange(6), 0.2)
-    brute = {(a, b): len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a in range(6) for b in range(a + 1, 6)}
-    assert {(int(a), int(b)): float(x) for a, b, x in zip(i, j, s, strict=True)} == {k: v for k, v in brute.items() if v >= 0.2}
+    found = fingerprint.similarities(sets, np.arange(6), np.arange(6))
+    for a in range(6):
+        for b in range(6):
+            assert a == b or found[a, b] == len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    assert (fingerprint.similarities(sets[:2], np.array([0]), np.array([1])) == found[0, 1]).all()
 
 
 def test_copies_are_paired_with_their_first(spark):
@@ -68,19 +70,41 @@ def test_empty_table(spark):
     assert fingerprint.fingerprint_pairs(tables.empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("block", [2, 64])
-def test_every_pair_of_copies_and_near_copies(spark, block):
-    """Copies of texts, copies of near copies, and a repeated row with two texts, against brute force."""
+@pytest.mark.parametrize("block", [2, 1024])
+def test_classes_and_links(spark, block):
+    """Copies of texts and copies of near copies: every document has its class, and the links of its class, against brute force."""
     base = _family(2)[:60]
     rows = base + [(1000 + 10 * i + k, base[i][1].upper() if k % 2 else base[i][1]) for i in range(0, 60, 2) for k in range(i % 7)]
-    found = [(r["doc_a"], r["doc_b"], r["jaccard"]) for r in fingerprint.every_pair(tables.docs(spark, rows), block_docs=block, block_copies=block).collect()]
-    true = _brute(rows, fingerprint.THRESHOLD)
-    assert len({x[:2] for x in found}) == len(found)
-    assert all(abs(true[a, b] - s) < 1e-12 for a, b, s in found)
-    texts = dict(rows)
-    alike = {(a, b) for a, b in true if texts[a].lower() == texts[b].lower()}
-    assert alike and alike <= {x[:2] for x in found}
-    assert len(found) / len(true) >= 0.95
+    found = {r["doc_id"]: r for r in fingerprint.fingerprints(tables.docs(spark, rows), block_docs=block).collect()}
+    assert sorted(found) == sorted(i for i, _ in rows)
+    classes = {}
+    for i, text in rows:
+        classes.setdefault(text.lower(), []).append(i)
+    links = {min(c): {} for c in classes.values()}
+    for (a, b), s in _brute([(min(c), t) for t, c in classes.items()], fingerprint.THRESHOLD).items():
+        links[a][b] = links[b][a] = s
+    lost = 0
+    for members in classes.values():
+        for i in members:
+            assert (found[i]["class_id"], found[i]["class_size"]) == (min(members), len(members))
+            mine = links[min(members)]
+            assert found[i]["n_links"] <= len(mine) and (found[i]["closest"] is None) == (found[i]["n_links"] == 0)
+            assert found[i]["closest"] is None or any(abs(found[i]["closest"] - s) < 1e-12 for s in mine.values())
+            lost += len(mine) - found[i]["n_links"]
+    assert lost <= 0.05 * sum(len(links[min(c)]) * len(c) for c in classes.values())
+
+
+def test_counts_are_those_of_the_pairs(spark):
+    rows = [(i, t) for t, i in {t: i for i, t in _family(3)}.items()]  # each text once
+    pairs = fingerprint.fingerprint_pairs(tables.docs(spark, rows)).collect()
+    counted = {r["doc_id"]: r["n_links"] for r in fingerprint.fingerprints(tables.docs(spark, rows), block_docs=2).collect()}
+    assert counted == {i: sum(i in (p["doc_a"], p["doc_b"]) for p in pairs) for i, _ in rows}
+
+
+def test_rows_of_irregular_documents(spark):
+    found = sorted((r["doc_id"], r["class_id"], r["class_size"], r["n_links"]) for r in fingerprint.fingerprints(tables.messy(spark)).collect())
+    assert found == [(1, 1, 3, 0), (2, 1, 3, 0), (3, 1, 3, 0), (8, 8, 1, 0), (9, 9, 1, 0), (10, 10, 1, 0), (11, 11, 1, 0), (12, 12, 1, 0)]
+    assert fingerprint.fingerprints(tables.empty(spark)).count() == 0
 
 
 def test_the_text_that_counts_is_the_one_compared(spark):
@@ -89,5 +113,5 @@ def test_the_text_that_counts_is_the_one_compared(spark):
     one, other = " ".join(base[:55] + ["q"] * 5), " ".join(base + ["z"] * 40)
     found = []
     for rows in ([(1, one), (1, other), (2, " ".join(base))], [(1, other), (1, one), (2, " ".join(base))]):
-        found.append([tuple(r) for r in fingerprint.every_pair(tables.docs(spark, rows).coalesce(1)).collect()])
+        found.append([tuple(r) for r in fingerprint.fingerprint_pairs(tables.docs(spark, rows).coalesce(1)).collect()])
     assert len(found[0]) == 1 and found[0] == found[1]
