@@ -48,6 +48,57 @@ def test_flow_is_cheapest(seed):
     assert _cost(tokens, given, quotas, filled) == _cheapest(tokens, members, quotas)
 
 
+def test_many_patterns_are_routed():
+    """More patterns than any earlier limit, against the value of the maximal flow that a cut gives."""
+    r = random.Random(2)
+    n, width = 70_000, 300
+    members = [sorted({r.randrange(width), r.randrange(width)}) for _ in range(n)]
+    tokens = [r.randrange(1, 9) for _ in range(n)]
+    quotas = [r.randrange(0, 3 * sum(tokens) // width) for _ in range(width)]
+    routed = mixing.route(tokens, members, quotas)
+    given, filled = [0] * n, [0] * width
+    for (p, s), x in routed.items():
+        given[p] += x
+        filled[s] += x
+    assert filled == quotas  # every source's members hold more than its quota, with repetition
+    # Optimal: from no pattern with room in its kth use does a residual path lead to one that uses its tokens more than k times.
+    fed = {}
+    for (p, s), x in routed.items():
+        fed.setdefault(s, []).append(p)
+    for k in range(1, len(mixing.REPEAT_COSTS)):
+        seen = {p for p in range(n) if given[p] < k * tokens[p]}
+        front, sources = list(seen), set()
+        while front:
+            for s in members[front.pop()]:
+                if s not in sources:
+                    sources.add(s)
+                    new = [p for p in fed.get(s, ()) if p not in seen]
+                    seen.update(new)
+                    front += new
+        assert all(given[p] <= k * tokens[p] for p in seen)
+
+
+def test_documents_beyond_all_pattern_limits(spark):
+    d = spark.range(3000).select("id", F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.concat(F.lit("site|"), "id").alias("source"), F.concat(F.lit("l"), F.col("id") % 7).alias("lang"))
+    plan = mixing.mix_plan(d).collect()
+    assert len(plan) == 3000 and len({p["pattern"] for p in plan}) == 3000
+
+
+def test_names_with_the_separator_do_not_collide(spark):
+    d = spark.createDataFrame([(1, "a b", ["x|y"]), (2, "a b", ["x", "y"]), (3, "a", ["x\\", "y"])], "doc_id long, text string, s array<string>")
+    assert len({p["pattern"] for p in mixing.mix_plan(d, F.col("s")).collect()}) == 3
+
+
+def test_documents_follow_the_plan(spark):
+    """mix_documents decides from a row's own columns what mix_plan says; reserved names may be taken."""
+    d = tables.docs(spark, [(i % 290, "w " * (i % 9), "en", "abc"[i % 3]) for i in range(300)]).withColumnRenamed("key", "__sl_cut").withColumnRenamed("node", "__SL_PATTERN")
+    options = {"weights": {"s:a": 3.0, "s:b": 1.0, "s:c": 0.2}, "sources": _sources(), "budget_ratio": 0.7}
+    expected = sorted((p["doc_id"], p["tokens"]) for p in mixing.mix_plan(d, **options).collect() for _ in range(p["epochs"]))
+    mixed = mixing.mix_documents(d, **options)
+    assert mixed.schema == d.schema
+    assert sorted((r["doc_id"], len(r["text"].split())) for r in mixed.collect()) == expected
+
+
 def _sources():
     return F.array(F.concat(F.lit("s:"), "source"))
 
