@@ -30,11 +30,13 @@ _MARKERS = (
     regex.compile(r"^\s*(?:(?:assistant|ai|bot|a|answer|model|agent)\s*:|<\|assistant\|>|#+\s*(?:assistant|answer|response)\b:?|\[assistant\])[ \t]*", regex.I),
 )
 N_MARKERS, N_SHAPES = len(_MARKERS) + 1, 16
+#: Lines, with those that pad shorter transcripts, that are decoded at once; a transcript of more lines is decoded alone.
+PADDED_LINES = 200_000
 
 
 def marker(line: str) -> tuple[int, int]:
     """(role whose marker the line begins with, or len(ROLES) for none; length of the marker)."""
-    if line[:1].isalpha() and ":" not in line[:24]:
+    if line[:1].isalpha() and ":" not in line:  # a marker that begins with a letter ends in a colon
         return len(ROLES), 0
     for role, expression in enumerate(_MARKERS):
         if m := expression.match(line):
@@ -58,8 +60,20 @@ class Hmm:
     shapes: np.ndarray
 
     def decode(self, observed: Sequence[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-        """Viterbi: the likeliest states of each sequence of (markers, shapes). All sequences advance together, a line a
-        step; of equally likely paths the one with the lower state stays."""
+        """Viterbi: the likeliest states of each sequence of (markers, shapes). Sequences of like lengths advance together, a
+        line a step, as many as PADDED_LINES allows; of equally likely paths the one with the lower state stays."""
+        order = sorted(range(len(observed)), key=lambda i: len(observed[i][0]))
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(observed)
+        group: list[int] = []
+        for i in [*order, None]:
+            if group and (i is None or len(observed[i][0]) * (len(group) + 1) > PADDED_LINES):
+                for k, states in zip(group, self._decode([observed[k] for k in group]), strict=True):
+                    out[k] = states
+                group = []
+            group.append(i)
+        return out
+
+    def _decode(self, observed: Sequence[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         order = np.argsort([-len(m) for m, _ in observed], kind="stable")
         lengths = np.array([len(observed[i][0]) for i in order], dtype=np.int64)
         live = lengths > 0

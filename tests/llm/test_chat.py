@@ -122,3 +122,22 @@ def test_rendered_turns_hold_the_original_texts(spark):
         assert not lost, (conv, lost[:3], [x[:40] for x in found[conv].split("\n")], [x[:30] for x in said])
         words, more = words + len(want), more + len(kept) - len(want)
     assert more < 0.01 * words, (more, words)
+
+
+def test_a_mark_whose_colon_stands_far_right():
+    line = "system  message" + " " * 40 + ": be kind"
+    assert chat.marker(line) == (0, line.index("be"))
+    assert chat.marker("Nothing here ends in a mark, although it is long: so") == (len(chat.ROLES), 0)
+
+
+def test_long_transcripts_are_decoded_beside_short_ones(monkeypatch):
+    """Any grouping by length gives what decoding each sequence alone gives."""
+    rng = np.random.default_rng(4)
+    logs = lambda *shape: np.log(rng.dirichlet(np.ones(shape[-1]), shape[:-1]))
+    n = len(chat.STATES)
+    model = chat.Hmm(logs(n), logs(n, n), logs(n, chat.N_MARKERS), logs(n, chat.N_SHAPES))
+    seen = [(rng.integers(0, chat.N_MARKERS, k), rng.integers(0, chat.N_SHAPES, k)) for k in (3, 0, 50_000, 1, 700, 3, 2, 700, 0)]
+    alone = [model.decode([s])[0].tolist() for s in seen]
+    for most in (1, 10, 1500, 10**9):
+        monkeypatch.setattr(chat, "PADDED_LINES", most)
+        assert [s.tolist() for s in model.decode(seen)] == alone
