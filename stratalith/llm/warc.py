@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,6 +25,9 @@ BLOCK_LINES = 1000
 #: Directory entries that a broadcast may hold (about 100 bytes each); beyond it lookups join the directory by key range.
 BROADCAST_BLOCKS = 200_000
 FILE_BYTES = 256 << 20
+#: Captures that a lookup task reads, about; keys alone are so small that Spark would put them all into one task.
+LOOKUP_LINES = 4_000
+LOOKUP_TASKS = 20_000
 _LINE = "key string, page_id long, file string, offset long, length long"
 _BLOCK = "first string, shard string, offset long, length long, lines long"
 
@@ -38,6 +42,8 @@ def url_key(url: Column) -> Column:
 
 
 def record(page_id: int, url: str, body: bytes) -> bytes:
+    """A capture as a gzip member. Control characters of the URL are percent-encoded, so that none ends its header line."""
+    url = re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
     head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{page_id}>\r\nWARC-Target-URI: {url}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
     deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
     return deflate.compress(head.encode() + body + b"\r\n\r\n") + deflate.flush()
@@ -46,7 +52,7 @@ def record(page_id: int, url: str, body: bytes) -> bytes:
 def body_of(raw: bytes) -> bytes:
     plain = zlib.decompress(raw, 31)
     head, _, rest = plain.partition(b"\r\n\r\n")
-    size = int(next(line for line in head.split(b"\r\n") if line.lower().startswith(b"content-length:")).split(b":")[1])
+    size = int([line for line in head.split(b"\r\n") if line.lower().startswith(b"content-length:")][-1].split(b":")[1])  # record() writes it last
     return rest[:size]
 
 
@@ -181,11 +187,12 @@ def look_up(spark: SparkSession, queries: DataFrame, directory: DataFrame, index
     is cut into ranges of so many blocks, and each range serves the queries between its first key and the next range's."""
     wanted = queries.where("key IS NOT NULL").select("key").distinct()
     schema = _LINE + ", body binary"
-    entries = directory.count()
+    totals = directory.agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines")).first()
+    entries, tasks = totals["blocks"], max(1, min(LOOKUP_TASKS, totals["lines"] // LOOKUP_LINES))
     if entries <= BROADCAST_BLOCKS:
         blocks = [tuple(r) for r in directory.orderBy("first", "shard", "offset").select("first", "shard", "offset", "length").collect()]
-        return wanted.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_lookup(blocks, index, archive), schema)
-    found = None
+        return wanted.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(_lookup(blocks, index, archive), schema)
+    found, tasks = None, max(1, tasks * BROADCAST_BLOCKS // (4 * entries))
     edges = [r["first"] for r in directory.select("first").sample(min(1.0, 4 / BROADCAST_BLOCKS), seed=1).orderBy("first").collect()]
     for lo, hi in zip([None, *edges], [*edges, None], strict=True):
         mine, part = wanted, directory
@@ -196,7 +203,7 @@ def look_up(spark: SparkSession, queries: DataFrame, directory: DataFrame, index
         if hi is not None:
             mine, part = mine.where(F.col("key") < hi), part.where(F.col("first") < hi)
         blocks = [tuple(r) for r in part.orderBy("first", "shard", "offset").select("first", "shard", "offset", "length").collect()]
-        answer = mine.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_lookup(blocks, index, archive), schema)
+        answer = mine.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(_lookup(blocks, index, archive), schema)
         found = answer if found is None else found.unionByName(answer)
     return found
 

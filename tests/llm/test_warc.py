@@ -34,6 +34,24 @@ def test_records():
     assert warc.body_of(warc.record(7, "http://a/", body)) == body
 
 
+def test_urls_with_line_breaks(spark):
+    """A URL cannot end its header line, nor give another length; its page is found again."""
+    url = "http://a.b/x\r\nContent-Length: 2\r\n\r\nz"
+    body = b"<p>seventeen</p>!"
+    raw = warc.record(7, url, body)
+    assert warc.body_of(raw) == body and zlib.decompress(raw, 31).count(b"\r\n\r\n") == 2
+    found = warc.index_pages(_pages(spark, [(1, url, "first"), (2, "http://a.b/\x00\x7f\t", "second"), (3, "http://a.b/x", "third")])).collect()
+    assert {r["page_id"]: (r["n_bytes"], r["digest"]) for r in found} == {i: (len(t), hashlib.md5(t.encode()).hexdigest()) for i, t in ((1, "first"), (2, "second"), (3, "third"))}
+
+
+def test_lookups_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LOOKUP_LINES", 20)
+    rows = [(i, f"http://h{i % 40}.x/{i}", f"page {i}") for i in range(200)]
+    found = warc.index_pages(_pages(spark, rows), block_lines=7)
+    assert found.rdd.getNumPartitions() > 4
+    assert sorted((r["page_id"], r["n_bytes"]) for r in found.collect()) == [(i, len(t)) for i, _, t in rows]
+
+
 def test_find_block():
     firsts = ["b", "d", "d", "f"]
     assert [warc.find_block(firsts, k) for k in ("a", "b", "c", "d", "e", "f", "z")] == [0, 0, 0, 0, 2, 2, 3]
