@@ -115,6 +115,24 @@ class Forest:
         return 1 / (1 + np.exp(-self.margin(x)))
 
 
+def split(flat: np.ndarray, cuts: list[np.ndarray], bins: int, grad: np.ndarray, hess: np.ndarray, node: np.ndarray, many: int, penalty: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, threshold) of the best split of each of `many` nodes, by histograms; flat has each row's bin of each feature, plus
+    `bins` times the feature. The threshold is infinite where no split gains and leaves `least` rows on both sides."""
+    n, width = flat.shape
+    feature, threshold = np.zeros(many, dtype=np.int64), np.full(many, np.inf)
+    key = (node[:, None] * (width * bins) + flat).ravel()
+    g, h, c = (np.bincount(key, np.repeat(w, width), many * width * bins).reshape(many, width, bins).cumsum(axis=2) for w in (grad, hess, np.ones(n)))
+    gt, ht, ct = g[:, :, -1:], h[:, :, -1:], c[:, :, -1:]
+    gain = g**2 / (h + penalty) + (gt - g) ** 2 / (ht - h + penalty) - gt**2 / (ht + penalty)
+    gain = np.where((c >= least) & (ct - c >= least), gain, -1.0).reshape(many, -1)
+    best = gain.argmax(axis=1)
+    for k in range(many):
+        f, b = divmod(int(best[k]), bins)
+        if gain[k, best[k]] > 1e-9 and b < len(cuts[f]):
+            feature[k], threshold[k] = f, cuts[f][b]
+    return feature, threshold
+
+
 def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 4, bins: int = 64, rate: float = 0.15, penalty: float = 1.0, least: int = 10) -> Forest:
     """Second-order boosting of the logistic loss; splits are sought over histograms of quantile bins."""
     prior = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
@@ -136,16 +154,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 4, bins:
         node = np.zeros(n, dtype=np.int64)
         for level in range(depth):
             first, many = (1 << level) - 1, 1 << level
-            key = ((node - first)[:, None] * (width * bins) + flat).ravel()
-            g, h, c = (np.bincount(key, np.repeat(w, width), many * width * bins).reshape(many, width, bins).cumsum(axis=2) for w in (grad, hess, np.ones(n)))
-            gt, ht, ct = g[:, :, -1:], h[:, :, -1:], c[:, :, -1:]
-            gain = g**2 / (h + penalty) + (gt - g) ** 2 / (ht - h + penalty) - gt**2 / (ht + penalty)
-            gain = np.where((c >= least) & (ct - c >= least), gain, -1.0).reshape(many, -1)
-            best = gain.argmax(axis=1)
-            for k in range(many):
-                f, b = divmod(int(best[k]), bins)
-                if gain[k, best[k]] > 1e-9 and b < len(cuts[f]):
-                    feature[first + k], threshold[first + k] = f, cuts[f][b]
+            feature[first : first + many], threshold[first : first + many] = split(flat, cuts, bins, grad, hess, node - first, many, penalty, least)
             node = 2 * node + 1 + (x[np.arange(n), feature[node]] > threshold[node])
         at = node - inner
         leaf = -rate * np.bincount(at, grad, inner + 1) / (np.bincount(at, hess, inner + 1) + penalty)
@@ -170,12 +179,13 @@ def _featurer() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Forest:
     """Fits the model of labels.quality on `rows` labelled documents at most, those with the least hash of doc_id.
 
-    A doc_id labelled several times counts with its majority (a tie is good); null labels, ids and texts do not count.
+    A doc_id labelled several times counts with its majority (a tie is good), one with several texts with the least of them;
+    null labels, ids and texts do not count.
     Without two classes the model is a constant: the clipped share of good ones, and 0.999 where there are none at all."""
     voted = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     chosen = voted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("__sl_id"), "y")
     # `chosen` has at most `rows` rows, whatever the input.
-    labelled = has_text(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("__sl_id")).select("y", "text")
+    labelled = has_text(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("__sl_id")).groupBy("__sl_id").agg(F.max("y").alias("y"), F.min("text").alias("text")).select("y", "text")
     table = labelled.mapInArrow(_featurer(), "y double, x array<double>").toPandas()
     if not len(table):
         return fit(np.zeros((1, len(FEATURES))), np.ones(1))
@@ -190,7 +200,7 @@ def _scorer(model: Forest, threshold: float) -> Callable[[Iterator[pa.RecordBatc
         for batch in batches:
             for block in K.blocks(batch, "text"):
                 score = model.score(features(block.column("text")))
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(score), pa.array(score >= threshold)], names=["doc_id", "score", "keep"])
+                yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(score), pa.array(score >= threshold)], names=["doc_id", "score", "keep"])
 
     return run
 
@@ -209,7 +219,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, r
     """(doc_id, score, keep) for every row of docs, repeated ones and null ids too; score is the modelled probability that
     the document is good, keep says whether it reaches the threshold.
 
-    A null text is scored as the empty text. Labels that name no document, and documents without a label, are fine; see
+    doc_id may be of any integer type. A null text is scored as the empty text. Labels that name no document, and documents without a label, are fine; see
     train() for ties and missing classes. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     model = train(docs, labels, rows)

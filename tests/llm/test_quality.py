@@ -48,6 +48,51 @@ def test_flat_traversal_equals_walking_the_trees():
     assert ((forest.margin(fresh) > 0) == ((fresh[:, 0] > 0) ^ (fresh[:, 1] > 0.3))).mean() > 0.9
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_splits_are_those_of_an_exhaustive_search(seed):
+    """Histograms with a bin for each value against every threshold of every feature, tried row by row."""
+    rng = np.random.default_rng(seed)
+    n, width, many, penalty, least = 60, 4, 3, 1.0, 5
+    x = rng.integers(0, 12, (n, width)).astype(float)
+    grad, hess, node = rng.normal(size=n), rng.random(n) * 0.25, rng.integers(0, many, n)
+    cuts = [np.unique(x[:, f]) for f in range(width)]
+    bins = max(map(len, cuts)) + 1
+    flat = np.column_stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)]) + np.arange(width) * bins
+    feature, threshold = quality.split(flat, cuts, bins, grad, hess, node, many, penalty, least)
+    gain = lambda rows: grad[rows].sum() ** 2 / (hess[rows].sum() + penalty)
+    for k in range(many):
+        own = node == k
+        tried = {}
+        for f in range(width):
+            for t in cuts[f]:
+                left, right = own & (x[:, f] <= t), own & (x[:, f] > t)
+                if left.sum() >= least and right.sum() >= least:
+                    tried[f, t] = gain(left) + gain(right) - gain(own)
+        best = max(tried.values(), default=-1)
+        if best <= 1e-9:
+            assert np.isinf(threshold[k])
+            continue
+        assert tried[feature[k], threshold[k]] == pytest.approx(best)
+
+
+def test_boosting_adds_what_leaves_should_hold():
+    """Of one stump fitted by hand: leaves are minus rate times gradient over hessian plus penalty."""
+    x = np.array([[0.0], [0.0], [1.0], [1.0]] * 10)
+    y = np.array([0.0, 0.0, 1.0, 0.0] * 10)
+    forest = quality.fit(x, y, trees=1, depth=1, rate=0.5, least=1)
+    p = y.mean()
+    leaf = lambda side: -0.5 * (p - y[side]).sum() / (side.sum() * p * (1 - p) + 1)
+    assert np.allclose(forest.margin(np.array([[0.0], [1.0]])), np.log(p / (1 - p)) + np.array([leaf(x[:, 0] == 0), leaf(x[:, 0] == 1)]))
+
+
+def test_ids_of_any_integer_type_and_repeated_ids(spark):
+    d = tables.docs(spark, [(1, "good text here"), (1, "another text"), (2, "b"), (None, "c")] * 3)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id int, quality int")
+    narrow = d.withColumn("doc_id", d["doc_id"].cast("int"))
+    found = quality.quality_scores(narrow, labels)
+    assert found.schema["doc_id"].dataType.simpleString() == "bigint" and found.count() == 12
+
+
 def test_one_class_is_a_constant():
     assert np.allclose(quality.fit(np.ones((5, 2)), np.ones(5)).score(np.ones((3, 2))), 0.999)
 
