@@ -28,6 +28,8 @@ BUDGETS = (512, 2048, 8192)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct units, and pairs of tokens, of each of the two generations that a worker remembers.
 _REMEMBERED = 250_000
+#: Longer units are remembered for a block only, by their text; shorter ones are looked up by hash and compared.
+LONG_UNIT = 64
 _OTHER, _LETTER, _NUMBER, _BLANK, _SPACE = range(5)
 
 
@@ -173,21 +175,46 @@ class PrefixCounter:
             return np.zeros(0, dtype=np.int16), bounds
         starts = unit_starts(points, bounds[:-1][np.diff(bounds) > 0])
         ends = np.r_[starts[1:], len(points)]
-        hashes = K.mix(K.slice_hashes(points, starts, ends) + (ends - starts).astype(K.U64))
+        size = ends - starts
+        hashes = K.mix(K.slice_hashes(points, starts, ends) + size.astype(K.U64))
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        parts = []
+        odd = self._unlike(points, starts, size, first, which)
+        if len(odd):  # long units, and any that a hash alone would take for another: each its own
+            first, which = np.r_[first, odd], which.copy()
+            which[odd] = np.arange(len(distinct), len(distinct) + len(odd))
+            distinct = np.r_[distinct, np.zeros(len(odd), dtype=distinct.dtype)]
+        parts, long = [], {}
         get, put = self.units.get, self.units.put
         for key, a, b in zip(distinct.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
-            part = get(key)
-            if part is None:
-                part = np.diff(self._unit_counts(joined[a:b])).astype("<i2").tobytes()
-                if b - a <= 64:
-                    put(key, part)
+            unit = joined[a:b]
+            known = get(key) if b - a <= LONG_UNIT else (unit, long[unit]) if unit in long else None
+            if known is not None and known[0] == unit:
+                parts.append(known[1])
+                continue
+            part = np.diff(self._unit_counts(unit)).astype("<i2").tobytes()
+            if b - a > LONG_UNIT:
+                long[unit] = part
+            elif known is None:
+                put(key, (unit, part))
             parts.append(part)
         flat = np.frombuffer(b"".join(parts), dtype="<i2")
-        sizes = (ends - starts)[first]
+        sizes = size[first]
         offset = (np.cumsum(sizes) - sizes)[which] - starts
-        return flat[np.arange(len(points)) + np.repeat(offset, ends - starts)], bounds
+        return flat[np.arange(len(points)) + np.repeat(offset, size)], bounds
+
+    @staticmethod
+    def _unlike(points: np.ndarray, starts: np.ndarray, size: np.ndarray, first: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Units that differ from the first one of their hash, and all long ones but the first of a hash."""
+        model = first[which]
+        same_size = size == size[model]
+        repeated = (model != np.arange(len(starts))) & same_size & (size <= LONG_UNIT)
+        at = np.flatnonzero(repeated)
+        sizes = size[at]
+        begin = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
+        differ = points[place + np.repeat(starts[at], sizes)] != points[place + np.repeat(starts[model[at]], sizes)]
+        wrong = np.logical_or.reduceat(differ, begin) if len(at) else np.zeros(0, dtype=bool)
+        return np.sort(np.r_[at[wrong], np.flatnonzero((model != np.arange(len(starts))) & ~repeated)])
 
     def prefix_counts(self, text: str) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(self.deltas([text])[0], dtype=np.int64)])

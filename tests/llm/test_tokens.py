@@ -57,3 +57,27 @@ def test_table(spark, counter):
 
 def test_empty_table(spark):
     assert tokens.token_counts(tables.empty(spark)).count() == 0
+
+
+def _thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("letters", ["ab", "eq"])
+def test_long_units_with_colliding_polynomials(counter, letters):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2**64."""
+    words = [_thue_morse(4096, *letters), _thue_morse(4096, *reversed(letters)), "plain words", _thue_morse(4096, *letters)]
+    changes, bounds = counter.deltas(words)
+    for word, lo, hi in zip(words, bounds[:-1], bounds[1:], strict=True):
+        assert changes[lo:hi].sum() == len(counter.encode(word))
+        counts = np.r_[0, np.cumsum(changes[lo:hi])]
+        assert all(counts[i] == len(counter.encode(word[:i])) for i in range(0, min(len(word), 300)))
+
+
+def test_equal_hashes_are_told_apart(counter, monkeypatch):
+    """With a hash of two values every lookup is wrong until it is compared."""
+    monkeypatch.setattr(tokens.K, "slice_hashes", lambda points, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(2))
+    monkeypatch.setattr(tokens.K, "mix", lambda x: x % np.uint64(2))
+    fresh = tokens.PrefixCounter()
+    for text in ["one two three, four! two one " * 3, "it's a dogs' dinner 12 34 12", "x" * 200 + " " + "y" * 200 + " " + "x" * 200]:
+        assert fresh.prefix_counts(text).tolist() == [len(fresh.encode(text[:i])) for i in range(len(text) + 1)]
