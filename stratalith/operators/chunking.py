@@ -1,7 +1,8 @@
 """Content-defined chunks: a rolling checksum over 64 bytes cuts contents where its low bits are all ones.
 
-The checksum has a closed form in prefix sums, so all cut candidates of a block of contents are found in a few numpy
-passes. Only the restart of the window at each chunk is sequential, and it concerns no more than 63 positions a chunk.
+The checksum is a pair of sums over its window, and its low bits need them modulo 2**16 only. Both sums of 64 bytes come from
+those of 32, and so on, so all cut candidates of a block of contents are found in some passes of additions over 16-bit
+integers. Only the restart of the window at each chunk is sequential, and it concerns no more than 63 positions a chunk.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ WINDOW = 64
 BITS, FAN_BITS, TREE_MOST = 13, 4, 256
 _S1, _S2 = 64 * 31, 64 * 63 * 31
 _BLOCK = 4 << 20
+#: Bytes a core below which an input counts as small.
+_SMALL = 16 << 20
 _CHUNKS = pa.schema([("key", pa.int64()), ("seq", pa.int32()), ("ofs", pa.int64()), ("len", pa.int32()), ("level", pa.int32()), ("oid", pa.string())])
 
 
@@ -28,23 +31,45 @@ def _masks(bits: int) -> tuple[int, int]:
     return (1 << max(0, bits - 16)) - 1, ((1 << bits) - 1) & 0xFFFF
 
 
-class Sums:
-    """Prefix sums of bytes and of byte times position; digests() is the checksum at positions whose windows begin at lo."""
+U16 = np.uint16
+_PASS = 1 << 15
 
-    def __init__(self, data: np.ndarray) -> None:
-        wide = data.astype(np.int64)
-        self.p = np.zeros(len(data) + 1, dtype=np.int64)
-        self.w = np.zeros(len(data) + 1, dtype=np.int64)
-        np.cumsum(wide, out=self.p[1:])
-        np.cumsum(wide * np.arange(len(data)), out=self.w[1:])
 
-    def halves(self, at: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = self.p[at + 1] - self.p[lo]
-        return _S1 + s, _S2 + (at + 1) * s - (self.w[at + 1] - self.w[lo])
+def digests(data: np.ndarray, at: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """The checksum at each position of `at`, of the window that begins at lo or 63 bytes before the position."""
+    back = at[:, None] - np.arange(WINDOW)
+    bytes_ = np.where(back >= lo[:, None], data[np.maximum(back, 0)], 0).astype(np.int64)
+    s1, s2 = _S1 + bytes_.sum(axis=1), _S2 + (bytes_ * np.arange(1, WINDOW + 1)).sum(axis=1)
+    return ((s1 << 16) | (s2 & 0xFFFF)) & 0xFFFFFFFF
 
-    def digests(self, at: np.ndarray, lo: np.ndarray) -> np.ndarray:
-        s1, s2 = self.halves(at, lo)
-        return ((s1 << 16) | (s2 & 0xFFFF)) & 0xFFFFFFFF
+
+def _candidates(s1: np.ndarray, s2: np.ndarray, m1: int, m2: int) -> np.ndarray:
+    """Where both sums, without what the window begins with, have all bits of the masks."""
+    hit = ((s2 + U16(_S2 & 0xFFFF)) & U16(m2)) == U16(m2)
+    return hit & (((s1 + U16(_S1)) & U16(m1)) == U16(m1)) if m1 else hit
+
+
+def full_windows(data: np.ndarray, m1: int, m2: int) -> np.ndarray:
+    """Candidates among the positions that end a window of 64 bytes, wherever contents begin; in passes that fit a cache.
+
+    Of windows of n bytes, s1 is the sum and s2 the sum of bytes times n, n - 1, ..., 1; two neighbours make one of 2n."""
+    found = [np.zeros(0, dtype=np.int64)]
+    for a in range(0, len(data) - WINDOW + 1, _PASS):
+        s1 = data[a : a + _PASS + WINDOW - 1].astype(U16)
+        s2, n = s1, 1
+        while n < WINDOW:
+            wide = s1[:-n] * U16(n)
+            wide += s2[:-n]
+            wide += s2[n:]
+            s1, s2, n = s1[:-n] + s1[n:], wide, 2 * n
+        found.append(np.flatnonzero(_candidates(s1, s2, m1, m2)) + (a + WINDOW - 1))
+    return np.concatenate(found)
+
+
+def early_windows(data: np.ndarray, m1: int, m2: int) -> np.ndarray:
+    """Whether positions are candidates whose windows begin with the row of data that they are in (at most 63 bytes each)."""
+    s1 = np.cumsum(data, axis=-1, dtype=U16)
+    return _candidates(s1, np.cumsum(s1, axis=-1, dtype=U16), m1, m2)
 
 
 def rolling_digest(data: bytes) -> int:
@@ -52,13 +77,13 @@ def rolling_digest(data: bytes) -> int:
     if not data:
         return ((_S1 << 16) | (_S2 & 0xFFFF)) & 0xFFFFFFFF
     tail = np.frombuffer(data[-WINDOW:], dtype=np.uint8)
-    return int(Sums(tail).digests(np.array([len(tail) - 1]), np.array([0]))[0])
+    return int(digests(tail, np.array([len(tail) - 1]), np.array([0]))[0])
 
 
-def levels(digests: np.ndarray, bits: int, fan_bits: int) -> np.ndarray:
+def levels(checksums: np.ndarray, bits: int, fan_bits: int) -> np.ndarray:
     """Ones above the cut bits, one bit being skipped, in units of fan_bits."""
-    rest = digests >> (bits + 1)
-    ones = np.zeros(len(digests), dtype=np.int64)
+    rest = checksums >> (bits + 1)
+    ones = np.zeros(len(checksums), dtype=np.int64)
     live = (rest & 1) == 1
     while live.any():
         ones[live] += 1
@@ -75,26 +100,26 @@ def cut(data: np.ndarray, bounds: np.ndarray, bits: int = BITS, fan_bits: int =
         raise ValueError("fan_bits must be at least 1")
     m1, m2 = _masks(bits)
     sizes = np.diff(bounds)
-    sums = Sums(data)
-    at = np.arange(len(data))
-    lo = np.maximum(at - (WINDOW - 1), np.repeat(bounds[:-1], sizes))
-    s1, s2 = sums.halves(at, lo)
-    hits = np.flatnonzero(((s2 & m2) == m2) & ((s1 & m1) == m1))
+    # The first 63 bytes of each content have shorter windows; behind them, positions whose window lies inside the content.
+    near, full = np.arange(WINDOW - 1), np.flatnonzero(sizes)
+    spots = bounds[:-1][full][:, None] + near
+    first = spots[early_windows(data[np.minimum(spots, len(data) - 1)], m1, m2) & (near < sizes[full][:, None])] if len(full) else full
+    hits = full_windows(data, m1, m2)
+    hits = hits[hits >= bounds[np.searchsorted(bounds, hits, side="right") - 1] + WINDOW - 1]
+    hits = np.sort(np.r_[first, hits])
     most = 1 << (bits + 2)
     a, b = np.searchsorted(hits, bounds[:-1]), np.searchsorted(hits, bounds[1:])
     simple = np.flatnonzero((a == b) & (sizes <= most) & (sizes > 0))
     owners, ends, starts, real = [simple], [bounds[1:][simple]], [bounds[:-1][simple]], [np.zeros(len(simple), dtype=bool)]
-    near = np.arange(WINDOW - 1)
     for i in np.flatnonzero((sizes > 0) & ((a != b) | (sizes > most))).tolist():
         c, stop, mine, own_ends, own_real = int(bounds[i]), int(bounds[i + 1]), hits[a[i] : b[i]], [], []
         first = c
         while c < stop:
             limit, found = min(stop, c + most), -1
             if c > first:  # the window restarts here: nearby positions see fewer bytes than the block-wide pass did
-                spots = c + near[: min(len(near), limit - c)]
-                x1, x2 = sums.halves(spots, np.full(len(spots), c))
-                early = np.flatnonzero(((x2 & m2) == m2) & ((x1 & m1) == m1))
-                found = int(spots[early[0]]) if len(early) else -1
+                early = early_windows(data[c : min(c + WINDOW - 1, limit)], m1, m2)
+                at = int(early.argmax())
+                found = c + at if early[at] else -1
             if found < 0:
                 k = int(np.searchsorted(mine, c + WINDOW - 1 if c > first else c))
                 if k < len(mine) and mine[k] < limit:
@@ -112,7 +137,7 @@ def cut(data: np.ndarray, bounds: np.ndarray, bits: int = BITS, fan_bits: int =
     level = np.zeros(len(end), dtype=np.int64)
     if hit.any():
         p = end[hit] - 1
-        level[hit] = levels(sums.digests(p, np.maximum(start[hit], p - (WINDOW - 1))), bits, fan_bits)
+        level[hit] = levels(digests(data, p, start[hit]), bits, fan_bits)
     return owner, end, level
 
 
@@ -190,6 +215,13 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
             at = to
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Small inputs, as a file of a single row group, are spread over all cores; large ones stay as they were read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, "key") if size < cores * _SMALL else df
+
+
 def _splitter(bits: int, fan_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, data, bounds in _contents(batches):
@@ -208,9 +240,10 @@ def _splitter(bits: int, fan_bits: int) -> Callable[[Iterator[pa.RecordBatch]],
 def chunks(df: DataFrame, key: str, content: Column, bits: int = BITS, fan_bits: int = FAN_BITS) -> DataFrame:
     """(key, seq, ofs, len, level, oid) of every chunk of every row's content; null and empty contents have none.
 
-    No shuffle: each row is cut where it lies, and the contents themselves are not copied out."""
+    No shuffle, unless the input is small for the number of cores: each row is cut where it lies, and the contents themselves
+    are not copied out."""
     rows = df.select(F.col(key).cast("long").alias("key"), content.alias("content")).where("content IS NOT NULL")
-    return rows.mapInArrow(_splitter(bits, fan_bits), "key long, seq int, ofs long, len int, level int, oid string").withColumnRenamed("key", key)
+    return _spread(rows).mapInArrow(_splitter(bits, fan_bits), "key long, seq int, ofs long, len int, level int, oid string").withColumnRenamed("key", key)
 
 
 def _rooter(bits: int, fan_bits: int, most: int, nodes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -240,13 +273,13 @@ def _rooter(bits: int, fan_bits: int, most: int, nodes: bool) -> Callable[[Itera
 def file_roots(df: DataFrame, key: str, content: Column, bits: int = BITS, fan_bits: int = FAN_BITS, most: int = TREE_MOST) -> DataFrame:
     """(key, mode, oid, size, chunks, trees): each content's identity, the id of its only chunk or of the tree over its chunks."""
     rows = df.select(F.col(key).cast("long").alias("key"), content.alias("content")).where("content IS NOT NULL")
-    return rows.mapInArrow(_rooter(bits, fan_bits, most, False), "key long, mode int, oid string, size long, chunks int, trees int").withColumnRenamed("key", key)
+    return _spread(rows).mapInArrow(_rooter(bits, fan_bits, most, False), "key long, mode int, oid string, size long, chunks int, trees int").withColumnRenamed("key", key)
 
 
 def file_nodes(df: DataFrame, key: str, content: Column, bits: int = BITS, fan_bits: int = FAN_BITS, most: int = TREE_MOST) -> DataFrame:
     """(key, tree, pos, mode, name, oid): the entries of all trees over contents of several chunks."""
     rows = df.select(F.col(key).cast("long").alias("key"), content.alias("content")).where("content IS NOT NULL")
-    return rows.mapInArrow(_rooter(bits, fan_bits, most, True), "key long, tree string, pos int, mode int, name string, oid string").withColumnRenamed("key", key)
+    return _spread(rows).mapInArrow(_rooter(bits, fan_bits, most, True), "key long, tree string, pos int, mode int, name string, oid string").withColumnRenamed("key", key)
 
 
 def rolling_digests(df: DataFrame, key: str, text: str) -> DataFrame:
