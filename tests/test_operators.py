@@ -78,6 +78,14 @@ def test_closure(spark, seed):
         assert found == {(a, n) for a in (0, 5, 100) for n in walk(a, halt)}
 
 
+def test_chains_by_doubling_are_as_step_by_step(spark):
+    r = random.Random(4)
+    edges = [(i, i // 2 - r.randrange(3)) for i in range(1, 60)] + [(200 + i, 201 + i) for i in range(37)] + [(300, 301), (301, 302), (302, 300), (400, None)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    start = spark.createDataFrame([(a, a) for a in (59, 41, 200, 220, 300, 999)], "root long, node long")
+    assert sorted(map(tuple, graph.chain_closure(df, start).collect())) == sorted(map(tuple, graph.closure(df, start).collect()))
+
+
 def test_bloom_has_no_false_negative_and_few_false_positives(spark):
     import hashlib
 
