@@ -31,11 +31,12 @@ def entry_hex(mode: Column, name: Column, oid: Column) -> Column:
     return F.concat(F.hex(F.encode(F.concat(F.conv(mode.cast("string"), 10, 8), F.lit(" "), name), "UTF-8")), F.lit(_NUL), F.upper(oid))
 
 
-def tree_ids(entries: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, oid, entries) of each directory of entries (*by, mode, name, oid): the id of its encoded, ordered entries."""
+def tree_ids(entries: DataFrame, by: list[str], content: bool = False) -> DataFrame:
+    """(*by, oid, entries) of each directory of entries (*by, mode, name, oid): the id of its encoded, ordered entries. With
+    `content` these follow as a column of that name."""
     one = F.struct(F.encode(entry_key(F.col("name"), F.col("mode")), "UTF-8").alias("k"), entry_hex(F.col("mode"), F.col("name"), F.col("oid")).alias("h"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda e: e["h"]), "")
-    return entries.groupBy(*by).agg(object_id(F.unhex(whole), "tree").alias("oid"), F.count(F.lit(1)).alias("entries"))
+    whole = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda e: e["h"]), ""))
+    return entries.groupBy(*by).agg(object_id(whole, "tree").alias("oid"), F.count(F.lit(1)).alias("entries"), *([whole.alias("content")] if content else []))
 
 
 def leading_bits(oid: Column, n: int) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalith.operators.graph import closure
+from stratalith.operators.graph import chain_closure, closure
+from stratalith.storage import written
 
 _KINDS = ("all", "dailies", "monthlies", "yearlies")
 
@@ -72,8 +73,14 @@ def leading_run(rows: DataFrame, holds: Column, by: str, *order: Column | str) -
 
 
 def ancestors(parents: DataFrame, tips: DataFrame) -> DataFrame:
-    """(tip, oid, depth): the commits that each tip reaches over parents (child, parent), itself included."""
-    return closure(parents.select(F.col("child").alias("src"), F.col("parent").alias("dst")), tips.select(F.col("oid").alias("root"), F.col("oid").alias("node"))).select(F.col("root").alias("tip"), F.col("node").alias("oid"), "depth")
+    """(tip, oid, depth): the commits that each tip reaches over parents (child, parent), itself included. Histories without
+    merges are followed by doubling jumps, others step by step."""
+    edges = parents.select(F.col("child").alias("src"), F.col("parent").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    edges = written(edges, "parents")
+    start = tips.select(F.col("oid").alias("root"), F.col("oid").alias("node"))
+    merges = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    reach = chain_closure(edges, start) if merges.isEmpty() else closure(edges, start)
+    return reach.select(F.col("root").alias("tip"), F.col("node").alias("oid"), "depth")
 
 
 def fast_forwards(parents: DataFrame, requests: DataFrame) -> DataFrame:
@@ -103,6 +110,18 @@ def names_by_object(refs: DataFrame, prefix: str = "refs/tags/") -> DataFrame:
     return refs.where(F.startswith("name", F.lit(prefix))).groupBy("oid").agg(F.array_join(F.array_sort(F.collect_list(short)), ",").alias("names"))
 
 
+def repair_counts(repairs: DataFrame, grave: Column, item: str, kind: str = "kind") -> DataFrame:
+    """(kind, n, named): how many repairs of each kind, and the sorted items of the grave ones, null without any."""
+    named = F.array_sort(F.collect_list(F.when(grave, F.col(item))))
+    return repairs.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), named.alias("named")).select(kind, "n", F.when(F.size("named") > 0, F.array_join("named", ",")).alias("named"))
+
+
+def converted(items: DataFrame, memo: DataFrame, stored: DataFrame) -> DataFrame:
+    """items (src, ...) with `dst`: what an earlier rewrite made of src, by memo (src, dst), if that is stored (oid) still."""
+    usable = memo.join(stored.select(F.col("oid").alias("dst")).distinct(), "dst", "left_semi").groupBy("src").agg(F.min("dst").alias("dst"))
+    return items.join(usable, "src", "left")
+
+
 def pack_numbers(objects: DataFrame, order: str, size: str, by: str, most_bytes: int = 1_000_000_000, most_objects: int = 200_000) -> DataFrame:
     """objects with `pack`: the number of the pack each goes to. A pack is closed when it holds most_bytes or most_objects, so
     each writer's (`by`) objects are taken in order."""

@@ -194,6 +194,11 @@ def stray_files(files: DataFrame, name: str = "name") -> DataFrame:
     return keyed.join(whole, "__id", "left_anti").drop("__id")
 
 
+def sorted_buckets(ids: DataFrame, buckets: int = 256) -> DataFrame:
+    """ids in range partitions by oid, sorted within each: together they are in order, and no sort is global."""
+    return ids.repartitionByRange(buckets, "oid").sortWithinPartitions("oid")
+
+
 def find_in_batches(ids: DataFrame, size: int) -> DataFrame:
     """ids with `batch`: groups of about `size` by prefix, for requests that go out together."""
     bits = max(0, math.ceil(math.log2(max(1, ids.count() / size))))

@@ -12,9 +12,9 @@ from stratalith.storage import BROADCAST_ROWS, written
 MOST_HOPS = 100
 
 
-def directory_ids(files: DataFrame) -> DataFrame:
-    """(dir, oid, entries) of every directory over files (path, mode, oid), the root being ''. Bottom up, a group a depth:
-    the number of rounds is the depth of the deepest path."""
+def directory_ids(files: DataFrame, content: bool = False) -> DataFrame:
+    """(dir, oid, entries) of every directory over files (path, mode, oid), the root being ''; with `content` also the encoded
+    entries. Bottom up, a group a depth: the number of rounds is the depth of the deepest path."""
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = files.select(parts.alias("p"), "mode", "oid").where("size(p) > 0")
     now = written(rows.select(F.size("p").alias("depth"), F.array_join(F.slice("p", F.lit(1), F.size("p") - 1), "/").alias("dir"), F.element_at("p", -1).alias("name"), "mode", "oid"), "entries")
@@ -25,9 +25,9 @@ def directory_ids(files: DataFrame) -> DataFrame:
         if above is not None:
             up = F.split("dir", "/")
             level = level.unionByName(above.select(F.array_join(F.slice(up, F.lit(1), F.size(up) - 1), "/").alias("dir"), F.element_at(up, -1).alias("name"), F.lit(DIRECTORY).alias("mode"), "oid"))
-        above = written(tree_ids(level, ["dir"]), "trees")
+        above = written(tree_ids(level, ["dir"], content), "trees")
         out = above if out is None else out.unionByName(above)
-    return out if out is not None else tree_ids(files.select(F.col("path").alias("dir"), F.col("path").alias("name"), "mode", "oid"), ["dir"])
+    return out if out is not None else tree_ids(files.select(F.col("path").alias("dir"), F.col("path").alias("name"), "mode", "oid"), ["dir"], content)
 
 
 def list_directory(entries: DataFrame, hidden: str = "none") -> DataFrame:
@@ -121,6 +121,15 @@ def metadata_counts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("dir").agg((1 + F.count(F.when(F.col("mode").bitwiseAND(F.lit(0o170000)) != DIRECTORY, 1))).alias("expected"))
 
 
+def directory_metadata(entries: DataFrame, name: str = "name") -> DataFrame:
+    """(dir, records) of directories with a real record at least, from entries (dir, name, mode, record): the directory's own
+    first (null here), then that of each entry that is no directory in order of names, null where it has none."""
+    listed = F.col("mode").bitwiseAND(F.lit(0o170000)) != DIRECTORY
+    rows = entries.groupBy("dir").agg(F.array_sort(F.collect_list(F.when(listed, F.struct(F.col(name).alias("name"), "record")))).alias("r"), F.count("record").alias("real"))
+    records = F.concat(F.array(F.lit(None).cast(entries.schema["record"].dataType)), F.transform("r", lambda x: x["record"]))
+    return rows.where("real > 0").select("dir", records.alias("records"))
+
+
 def first_by_name(entries: DataFrame, by: str = "dir", name: str = "name", order: str = "pos") -> DataFrame:
     """entries with `duplicate`: whether an earlier one of the directory has the name; writers keep the others."""
     return entries.withColumn("duplicate", F.row_number().over(Window.partitionBy(by, name).orderBy(order)) > 1)
@@ -133,9 +142,9 @@ def root_collisions(paths: DataFrame, by: str, path: str = "path") -> DataFrame:
 
 
 def default_mode(stored_mode: Column, chunked: Column) -> Column:
-    """The mode shown for an entry without metadata."""
-    kind = stored_mode.bitwiseAND(F.lit(0o170000))
-    return F.when(chunked, 0o100644).when(kind == DIRECTORY, 0o040755).when(kind == 0o120000, 0o120777).otherwise(0o100644)
+    """The mode shown for an entry without metadata; null for a stored mode of another kind."""
+    kind, executable = stored_mode.bitwiseAND(F.lit(0o170000)), stored_mode.bitwiseAND(F.lit(0o100)) != 0
+    return F.when(kind == 0o100000, F.when(executable, 0o100755).otherwise(0o100644)).when(kind == DIRECTORY, F.when(chunked, 0o100644).otherwise(0o040755)).when(kind == 0o120000, 0o120755)
 
 
 def glob_match(name: Column, pattern: str) -> Column:

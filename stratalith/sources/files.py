@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import grp
+import json
 import os
+import pwd
+import re
 import stat
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import BinaryIO
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-SCHEMA = "path string, dev long, ino long, nlink long, mode int, uid long, gid long, size long, mtime long, ctime long, is_mount boolean"
+SCHEMA = (
+    "path string, dev long, ino long, nlink long, mode int, uid long, gid long, size long, mtime long, ctime long, is_mount boolean, "
+    "user string, grp string, rdev long, target string, xattrs map<string,binary>, error string"
+)
 
 
 class _Part(InputPartition):
@@ -20,10 +30,28 @@ class _Part(InputPartition):
         self.path, self.walk = path, walk
 
 
+def _account(number: int, group: bool) -> str | None:
+    try:
+        return grp.getgrgid(number).gr_name if group else pwd.getpwuid(number).pw_name
+    except KeyError:
+        return None
+
+
+def _xattrs(path: str) -> dict[str, bytes]:
+    try:
+        return {n: os.getxattr(path, n, follow_symlinks=False) for n in os.listxattr(path, follow_symlinks=False)}
+    except OSError:
+        return {}
+
+
 class _TreeReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.root = options["path"].rstrip("/") or "/"
         self.one_device = options.get("xdev", "false").lower() == "true"
+        lists = {k: json.loads(options.get(k, "[]")) for k in ("exclude", "exclude_rx", "xdev_exceptions")}
+        self.exclude = {os.path.normpath(p) for p in lists["exclude"]}
+        self.exclude_rx = [re.compile(x) for x in lists["exclude_rx"]]
+        self.exceptions = {p.rstrip("/") for p in lists["xdev_exceptions"]}
 
     def partitions(self) -> list[InputPartition]:
         top = sorted(os.scandir(self.root), key=lambda e: e.name) if os.path.isdir(self.root) else []
@@ -31,18 +59,37 @@ class _TreeReader(DataSourceReader):
 
     def read(self, part: _Part) -> Iterator[tuple]:
         device = os.lstat(self.root).st_dev
+        accounts: dict[tuple[int, bool], str | None] = {}
+
+        def account(number: int, group: bool) -> str | None:
+            if (number, group) not in accounts:
+                accounts[number, group] = _account(number, group)
+            return accounts[number, group]
 
         def rows(path: str, walk: bool) -> Iterator[tuple]:
             try:
                 st = os.lstat(path)
             except OSError:  # gone since it was listed
                 return
-            is_dir = stat.S_ISDIR(st.st_mode)
-            if is_dir and walk and not (self.one_device and st.st_dev != device):
-                for name in sorted(os.listdir(path), reverse=True):
-                    yield from rows(f"{path}/{name}", True)
+            is_dir, error, target = stat.S_ISDIR(st.st_mode), None, None
             shown = path.rstrip("/") + "/" if is_dir else path
-            yield (shown, st.st_dev, st.st_ino, st.st_nlink, st.st_mode, st.st_uid, st.st_gid, 0 if is_dir else st.st_size, st.st_mtime_ns, st.st_ctime_ns, is_dir and st.st_dev != device)
+            if path != self.root and (os.path.normpath(path) in self.exclude or any(x.search(shown) for x in self.exclude_rx)):
+                return
+            if is_dir and walk and not (self.one_device and st.st_dev != device and path not in self.exceptions):
+                try:
+                    below = sorted(os.listdir(path), reverse=True)
+                except OSError as e:  # it is shown, with what was wrong, and the scan goes on
+                    below, error = [], str(e)
+                for name in below:
+                    yield from rows(f"{path}/{name}", True)
+            if stat.S_ISLNK(st.st_mode):
+                try:
+                    target = os.readlink(path)
+                except OSError as e:
+                    error = str(e)
+            size = 0 if is_dir else st.st_size
+            yield (shown, st.st_dev, st.st_ino, st.st_nlink, st.st_mode, st.st_uid, st.st_gid, size, st.st_mtime_ns, st.st_ctime_ns, is_dir and st.st_dev != device,
+                   account(st.st_uid, False), account(st.st_gid, True), st.st_rdev, target, _xattrs(path), error)
 
         yield from rows(part.path, part.walk)
 
@@ -61,10 +108,58 @@ class TreeSource(DataSource):
         return _TreeReader(dict(self.options))
 
 
-def scan_tree(spark: SparkSession, folder: str, one_device: bool = False) -> DataFrame:
-    """(path, dev, ino, ...) of everything below folder; names of directories end in '/'."""
+def scan_tree(spark: SparkSession, folder: str, one_device: bool = False, exclude: Sequence[str] = (), exclude_rx: Sequence[str] = (), xdev_exceptions: Sequence[str] = ()) -> DataFrame:
+    """(path, dev, ino, ...) of everything below folder; names of directories end in '/'.
+
+    exclude: paths that are left out with what lies below; exclude_rx: patterns, found anywhere in a path, that do the same;
+    xdev_exceptions: mount points that one_device enters all the same. A directory that cannot be read has `error`."""
     spark.dataSource.register(TreeSource)
-    return spark.read.format("filetree").option("xdev", str(one_device).lower()).load(folder)
+    options = {k: json.dumps(list(v)) for k, v in (("exclude", exclude), ("exclude_rx", exclude_rx), ("xdev_exceptions", xdev_exceptions))}
+    return spark.read.format("filetree").option("xdev", str(one_device).lower()).options(**options).load(folder)
+
+
+HOLE = 512
+
+
+def write_sparsely(file: BinaryIO, content: bytes) -> None:
+    """Writes content with holes for runs of at least HOLE zeros, by blocks of so many bytes."""
+    data = np.frombuffer(content, dtype=np.uint8)
+    whole = len(data) // HOLE
+    zero = ~data[: whole * HOLE].reshape(whole, HOLE).any(axis=1)
+    edges = np.r_[0, np.flatnonzero(zero[1:] != zero[:-1]) + 1, whole] if whole else np.zeros(1, dtype=np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if zero[a]:
+            file.seek((b - a) * HOLE, os.SEEK_CUR)
+        else:
+            file.write(content[a * HOLE : b * HOLE])
+    file.write(content[whole * HOLE :])
+    file.truncate(len(content))
+
+
+def file_writer(target: str, sparse: bool, owners: Mapping[int, int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For mapInPandas: writes rows (path, mode, mtime in nanoseconds, content) below target, and returns (path, bytes)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for r in rows.itertuples():
+                place = os.path.join(target, r.path.lstrip("/"))
+                if ".." in r.path.split("/"):
+                    raise ValueError(f"{r.path} leads out of the target folder")
+                os.makedirs(os.path.dirname(place), exist_ok=True)
+                fresh = f"{place}.{uuid.uuid4().hex}.part"
+                with open(fresh, "wb") as file:
+                    if sparse:
+                        write_sparsely(file, bytes(r.content))
+                    else:
+                        file.write(bytes(r.content))
+                os.chmod(fresh, int(r.mode) & 0o7777)
+                if owners and (uid := owners.get(os.stat(fresh).st_uid)) is not None:
+                    os.chown(fresh, uid, -1)
+                os.utime(fresh, ns=(int(r.mtime), int(r.mtime)))
+                os.replace(fresh, place)
+            yield pd.DataFrame({"path": rows["path"], "bytes": rows["content"].map(len)})
+
+    return run
 
 
 def file_contents(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,4 +1,5 @@
-"""The public pack index format, version 2: fan-out, sorted ids, checksums, offsets (long ones apart), two SHA-1 trailers."""
+"""The public pack index format. Version 2: fan-out, sorted ids, checksums, offsets (long ones apart), two SHA-1 trailers.
+Version 1: fan-out, then offset and id of each object."""
 
 from __future__ import annotations
 
@@ -25,9 +26,9 @@ def encode_index(entries: list[tuple[bytes, int, int]], pack_sha: bytes = bytes(
 
 
 def decode_index(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids as rows of 20 bytes, crc, ofs)."""
+    """(ids as rows of 20 bytes, crc, ofs); version 1 has no checksums, which are -1 then."""
     if data[:8] != MAGIC:
-        raise ValueError("not a pack index of version 2")
+        return _decode_first(data)
     n = int.from_bytes(data[8 + 255 * 4 : 8 + 256 * 4], "big")
     at = 8 + 1024
     ids = np.frombuffer(data, dtype=np.uint8, count=20 * n, offset=at).reshape(n, 20)
@@ -40,6 +41,14 @@ def decode_index(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, crc, ofs
 
 
+def _decode_first(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    fan = np.frombuffer(data[:1024], dtype=">u4")
+    if len(data) < 1024 + 40 or (np.diff(fan.astype(np.int64)) < 0).any() or len(data) != 1024 + 24 * int(fan[-1]) + 40:
+        raise ValueError("not a pack index of version 1 or 2")
+    rows = np.frombuffer(data, dtype=np.dtype([("ofs", ">u4"), ("id", "u1", 20)]), count=int(fan[-1]), offset=1024)
+    return rows["id"], np.full(len(rows), -1, dtype=np.int64), rows["ofs"].astype(np.int64)
+
+
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

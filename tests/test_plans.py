@@ -130,7 +130,7 @@ def test_rewriting_and_damage(spark, tmp_path):
     tip = new.rewrite(repo, "refs/heads/main", "main", bits=14)
     assert _restored(new, tip) == contents and tip != oid
     lost = repo.table("chunks").where("len > 1000").select("oid").first()["oid"]
-    repo._replace("objects", repo.table("objects").where(F.col("oid") != lost))
+    repo._replace(objects=repo.table("objects").where(F.col("oid") != lost))
     assert [r["path"] for r in repo.damaged(oid).collect()] == ["/a"] and repo.fsck().count() == 1
     repaired = _restored(new, new.rewrite(repo, "refs/heads/main", "repaired"))
     assert repaired["/b"] == b"small" and repaired["/a"].startswith(b"A part of this file was missing")
@@ -142,3 +142,179 @@ def test_a_listing_follows_events(spark, tmp_path):
         spark.createDataFrame([row], "name string, size int, version long, deleted boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         ingest.follow_listing(ingest.stream_table(spark, f"{tmp_path}/in", 1), f"{tmp_path}/list", f"{tmp_path}/check").awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/list/v1").collect())) == [("b", 5, False)]
+
+
+def test_packs_and_their_indexes(spark, tmp_path):
+    import hashlib
+
+    from stratalith.sources import packs
+
+    contents = [("blob", b"hello\n"), ("tree", b""), ("commit", b"x" * 100_000), ("blob", os.urandom(5000)), ("tag", b"t")]
+    (tmp_path / "a.pack").write_bytes(packs.encode_pack(contents))
+    (tmp_path / "b.pack").write_bytes(packs.encode_pack([]))
+    rows = packs.read_packs(spark, str(tmp_path)).orderBy("ofs").collect()
+    assert [(r["kind"], bytes(r["content"])) for r in rows] == contents and {r["pack"] for r in rows} == {"a"}
+    assert rows[0]["oid"] == "ce013625030ba8dba906f756967f9e9ca394464a" and rows[1]["oid"] == "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
+    skipped = packs.read_packs(spark, str(tmp_path), skip_blobs=True).orderBy("ofs").collect()
+    assert [r["oid"] for r in skipped] == [r["oid"] if r["kind"] != "blob" else None for r in rows]
+    raw = bytearray((tmp_path / "a.pack").read_bytes())
+    raw[40] ^= 1
+    for broken in (bytes(raw), b"PACK", bytes(raw)[:-30]):
+        with pytest.raises(ValueError):
+            list(packs.decode_pack(broken))
+
+    ids = sorted((hashlib.sha1(str(i).encode()).digest(), i * 7) for i in range(300))
+    counts = [sum(x[0][0] <= b for x in ids) for b in range(256)]
+    first = b"".join(c.to_bytes(4, "big") for c in counts) + b"".join(o.to_bytes(4, "big") + i for i, o in ids)
+    (tmp_path / "v1.idx").write_bytes(first + bytes(40))
+    found = packidx.read_indexes(spark, str(tmp_path)).orderBy("oid").collect()
+    assert [(bytes.fromhex(r["oid"]), r["ofs"]) for r in found] == ids and {r["crc"] for r in found} == {-1}
+
+
+def test_stored_indexes(spark, tmp_path):
+    import hashlib
+
+    from stratalith.sources import indexes
+
+    oid = lambda n: hashlib.sha1(str(n).encode()).hexdigest()
+    index = spark.createDataFrame([(oid(i), f"p{i % 3}") for i in range(300)], "oid string, pack string")
+    indexes.write_merged(index, f"{tmp_path}/m")
+    have = index.select("pack").distinct()
+    assert sorted(map(tuple, indexes.read_merged(spark, f"{tmp_path}/m", have).collect())) == sorted((oid(i), f"p{i % 3}", i % 3) for i in range(300))
+    assert indexes.read_merged(spark, f"{tmp_path}/m", have.where("pack <> 'p1'"), ignore_missing=True) is None
+    with pytest.raises(ValueError, match="p1"):
+        indexes.read_merged(spark, f"{tmp_path}/m", have.where("pack <> 'p1'"))
+
+    at = f"{tmp_path}/f"
+    first = index.where("pack <> 'p2'")
+    assert indexes.filter_shape(spark, at) is None and indexes.keep_filter(first, at) == "regenerate"
+    assert indexes.keep_filter(first, at) == "nothing" and not indexes.worth_asking(spark, at, 3)
+    assert indexes.keep_filter(index, at) == "add" and indexes.worth_asking(spark, at, 3)
+    assert indexes.filter_shape(spark, at)["entries"] == 300
+    probes = spark.createDataFrame([(oid(i),) for i in range(1300)], "oid string")
+    maybe = {r["oid"] for r in indexes.probe_filter(probes, at).where("maybe").collect()}
+    assert {oid(i) for i in range(300)} <= maybe and len(maybe) < 330
+    assert indexes.keep_filter(index.where("pack <> 'p0'"), at) == "regenerate" and indexes.filter_shape(spark, at)["entries"] == 200
+    indexes.ruin_filter(spark, at)
+    assert indexes.probe_filter(probes, at).where("maybe").count() == 0
+    indexes.clear_filter(spark, at)
+    assert indexes.filter_shape(spark, at) is None
+
+
+def test_scan_with_exclusions_links_and_unreadable_folders(spark, tmp_path, monkeypatch):
+    for name in ("keep/a", "drop/b", "deep/skip/c", "deep/d.tmp", "deep/e"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "link").symlink_to("keep/a")
+    rows = files.scan_tree(spark, str(tmp_path), exclude=[f"{tmp_path}/drop/"], exclude_rx=["/skip/$", r"\.tmp$"]).collect()
+    found = {r["path"].removeprefix(str(tmp_path)): r for r in rows}
+    assert sorted(found) == ["/", "/deep/", "/deep/e", "/keep/", "/keep/a", "/link"]
+    assert found["/link"]["target"] == "keep/a" and found["/keep/a"]["target"] is None
+    assert found["/keep/a"]["user"] is not None and found["/keep/a"]["xattrs"] == {} and found["/"]["error"] is None
+
+    reader = files._TreeReader({"path": str(tmp_path)})
+    listed = os.listdir
+
+    def refuse(path):
+        if str(path).endswith("keep"):
+            raise PermissionError("no")
+        return listed(path)
+
+    monkeypatch.setattr(os, "listdir", refuse)
+    shown = {row[0].removeprefix(str(tmp_path)): row[-1] for part in reader.partitions() for row in reader.read(part)}
+    assert shown["/keep/"] == "no" and "/keep/a" not in shown and "/deep/e" in shown
+
+
+def test_restoring_to_files(spark, tmp_path):
+    repo = Repository(spark, f"{tmp_path}/r")
+    hole = b"begin" + bytes(100_000) + b"end" + bytes(3000)
+    contents = {"/a/x": b"hello", "/a/y/hole": hole, "/empty": b"", "/zeros": bytes(4096), "/skip/z": b"no"}
+    oid = repo.save("main", _files(spark, contents), 1000)
+    for sparse in (False, True):
+        target = tmp_path / f"t{sparse}"
+        done = {r["path"]: r["bytes"] for r in repo.restore_to(oid, str(target), sparse=sparse, exclude=["^/skip/"]).collect()}
+        wanted = {p: c for p, c in contents.items() if not p.startswith("/skip")}
+        assert done == {p: len(c) for p, c in wanted.items()}
+        assert {p: (target / p[1:]).read_bytes() for p in wanted} == wanted and not (target / "skip").exists()
+        assert oct((target / "a/x").stat().st_mode & 0o777) == "0o644" and (target / "a/x").stat().st_mtime_ns == 7
+    assert (tmp_path / "tTrue/a/y/hole").stat().st_blocks < (tmp_path / "tFalse/a/y/hole").stat().st_blocks
+    assert not list(tmp_path.glob("t*/**/*.part"))
+
+
+def test_methods_of_get_and_what_they_refuse(spark, tmp_path):
+    repo, other = Repository(spark, f"{tmp_path}/r"), Repository(spark, f"{tmp_path}/o")
+    assert repo.init() == repo.init() and repo.init(bits="13") == repo.init() and len(repo.init()) == 32
+    assert other.init(bits="13") != repo.init() and repo.config("bits") == "13" and repo.config("none") is None
+    first = repo.save("main", _files(spark, {"/a": b"one"}), 1000, "m1", "Ann <ann@x>")
+    repo.save("main", _files(spark, {"/a": b"two"}), 2000, "m2", "Bob <bob@x>")
+    with pytest.raises(ValueError, match="none of"):
+        other.get(repo, "copy", "refs/heads/main", "refs/heads/x")
+    with pytest.raises(ValueError, match="no destination"):
+        other.get(repo, "unnamed", "refs/heads/main", "refs/heads/x")
+    with pytest.raises(ValueError, match="does not exist"):
+        other.get(repo, "ff", "refs/heads/none", "refs/heads/x")
+    assert other.get(repo, "unnamed", first) == first and other.table("refs").isEmpty() and other.fsck().isEmpty()
+    other.tag("t", first)
+    with pytest.raises(ValueError, match="force-pick"):
+        other.get(repo, "pick", "refs/heads/main", "refs/tags/t")
+    forced = other.get(repo, "force-pick", "refs/heads/main", "refs/tags/t")
+    assert other.ref("refs/tags/t") == forced != first
+    saved = other.table("saves").where(F.col("oid") == forced).first()
+    assert (saved["author"], saved["utc"], saved["message"], saved["parent"]) == ("Bob <bob@x>", 2000, "m2", first)
+    with pytest.raises(ValueError, match="exists"):
+        other.tag("t", first)
+    other.tag("t", first, force=True)
+    other.delete_tag("t")
+    with pytest.raises(ValueError, match="does not exist"):
+        other.delete_tag("t")
+    other.delete_tag("t", force=True)
+    tree = repo.table("saves").where(F.col("oid") == first).first()["tree"]
+    appended = other.get(repo, "append", tree, "refs/heads/trees")
+    assert other.table("saves").where(F.col("oid") == appended).first()["tree"] == tree
+    with pytest.raises(ValueError, match="takes a commit"):
+        other.get(repo, "pick", tree, "refs/heads/trees")
+    other.init(bits="14")
+    with pytest.raises(ValueError, match="differently"):
+        other.get(repo, "ff", "refs/heads/main", "refs/heads/x")
+    # Another writer's generation makes a stale one fail; a claim that nobody finished can be removed.
+    number, versions = repo.generation()
+    repo.tag("now", first)
+    with pytest.raises(ValueError, match="another writer"):
+        repo._publish(number + 1, versions)
+    with pytest.raises(ValueError, match="replaced"):
+        repo.update_ref("refs/heads/main", first, repo.ref("refs/heads/main"), {"objects": 99})
+    fs, claim = repo._fs(f"{repo.folder}/generations/{repo.generation()[0] + 1:09d}.claim")
+    fs.createNewFile(claim)
+    with pytest.raises(ValueError, match="unlock"):
+        repo.tag("later", first)
+    repo.unlock()
+    repo.tag("later", first)
+
+    spoiled = repo.table("objects").withColumn("content", F.when(F.col("oid") == tree, F.lit(b"x")).otherwise(F.col("content")))
+    repo._replace(objects=spoiled)
+    assert [tuple(r) for r in repo.fsck().collect()] == [(tree, "content")]
+
+
+def test_the_view_of_a_store(spark, tmp_path):
+    repo = Repository(spark, f"{tmp_path}/r")
+    first = repo.save("main", _files(spark, {"/d/a": b"one", "/b": b"12"}), 1000)
+    second = repo.save("main", _files(spark, {"/b": b"1"}), 1000)
+    repo.tag("t", first)
+    rows = {(r["parent"], r["name"]): r for r in repo.view().collect()}
+    assert {k: r["kind"] for k, r in rows.items()} == {
+        ("/", ".tag"): "tags", ("/", "main"): "branch", ("/.tag", "t"): "tag", ("/main", "latest"): "latest",
+        ("/main", "1970-01-01-001640-1"): "save", ("/main", "1970-01-01-001640-0"): "save",
+        ("/main/1970-01-01-001640-0", "d"): "dir", ("/main/1970-01-01-001640-0/d", "a"): "file", ("/main/1970-01-01-001640-0", "b"): "file", ("/main/1970-01-01-001640-1", "b"): "file",
+    }
+    assert rows["/main", "latest"]["oid"] == second and rows["/main", "1970-01-01-001640-0"]["oid"] == first
+    assert rows["/main/1970-01-01-001640-0/d", "a"]["size"] == 3
+
+
+def test_rewriting_again_uses_the_memo(spark, tmp_path):
+    repo, new = Repository(spark, f"{tmp_path}/r"), Repository(spark, f"{tmp_path}/n")
+    repo.save("main", _files(spark, {"/a": b"one"}), 1000, author="Ann <ann@x>")
+    tip = new.rewrite(repo, "refs/heads/main", "main", bits=14)
+    new.remove_branch("main")
+    saves = new.table("saves").count()
+    assert new.rewrite(repo, "refs/heads/main", "main", bits=14) == tip and new.table("saves").count() == saves
+    assert new.table("saves").first()["author"] == "Ann <ann@x>"
