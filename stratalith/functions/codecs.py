@@ -173,27 +173,6 @@ def metadata_fields(records: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
 
 
-def _escape(text: str) -> str:
-    named = {7: r"\a", 8: r"\b", 9: r"\t", 10: r"\n", 11: r"\v", 12: r"\f", 13: r"\r", 27: r"\e", 39: r"\'", 92: r"\\"}
-    return "".join(named.get(ord(c), rf"\x{ord(c):02x}" if ord(c) < 32 or ord(c) == 127 else c) for c in text)
-
-
-@F.pandas_udf(StringType())
-def terminal_text(texts: pd.Series) -> pd.Series:
-    """A path as a shell word that is safe to print: control characters make it $'...', blanks and the like '...'."""
-
-    def one(t: str | None) -> str | None:
-        if t is None:
-            return None
-        if any(ord(c) < 32 or ord(c) == 127 for c in t):
-            return "$'" + _escape(t) + "'"
-        if t and all(c.isalnum() or c in "_./-+:@%,=" for c in t):
-            return t
-        return "'" + t.replace("'", "'\\''") + "'"
-
-    return texts.map(one)
-
-
 def split_words(line: str) -> Sequence[tuple[int, str]]:
     """(offset, word) of a command line with quotes and backslashes."""
     words, word, start, quote, escaped = [], "", None, "", False

@@ -25,10 +25,10 @@ _SIZE = r"^([\d.e+-]+)\s*(\w*)"
 
 
 def human_size(size: Column) -> Column:
-    """Bytes below 1024, otherwise one decimal and a letter of KMGTPE (powers of 1024)."""
+    """Bytes below 1024, otherwise one decimal (ties to the even digit) and a letter of KMGTPE (powers of 1024)."""
     out = F.when(size < 1024, size.cast("long").cast("string"))
     for i, letter in enumerate("KMGTPE", 1):
-        part = F.concat(F.format_string("%.1f", size / F.lit(1024.0**i)), F.lit(letter))
+        part = F.concat(F.bround((size / F.lit(1024.0**i)).cast("decimal(38,18)"), 1).cast("decimal(20,1)").cast("string"), F.lit(letter))
         out = out.when(size < 1024.0 ** (i + 1), part) if i < 6 else out.otherwise(part)
     return out
 
@@ -136,7 +136,7 @@ def path_pieces(path: Column) -> Column:
 
 def archive_path(path: Column) -> Column:
     """A relative path for an archive: what follows the last '/../', without '.', double and leading slashes; '.' if nothing is left."""
-    p = F.regexp_replace(path, r"^.*/\.\./", "")
+    p = F.regexp_replace(path, r"(?s)^.*/\.\./", "")
     p = F.regexp_replace(p, r"^\.\./", "")
     p = F.regexp_replace(p, r"/(\./)+", "/")
     p = F.regexp_replace(F.regexp_replace(p, r"^/+", ""), r"/{2,}", "/")
@@ -144,6 +144,114 @@ def archive_path(path: Column) -> Column:
     return F.when((p == "") | F.endswith(p, F.lit("/..")), ".").otherwise(p)
 
 
+def extract_path(path: Column) -> Column:
+    """Where an archive's path is extracted: without leading slashes, '.' for nothing, null where it would leave the target folder."""
+    p = F.regexp_replace(path, "^/+", "")
+    return F.when(p == "", ".").when(~risky_path(p), p)
+
+
+def slash_append(path: Column) -> Column:
+    """The path with a slash at its end, unless it is empty."""
+    return F.when((path != "") & ~F.endswith(path, F.lit("/")), F.concat(path, F.lit("/"))).otherwise(path)
+
+
+def restorable(path: Column) -> Column:
+    """Whether a path names a save or something in it, and not only a branch."""
+    absolute = F.startswith(path, F.lit("/"))
+    stuck = lambda acc: (F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1)) == "..")
+    up = lambda acc: F.when(stuck(acc), F.when(absolute, acc).otherwise(F.concat(acc, F.array(F.lit(".."))))).otherwise(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+    parts = F.aggregate(_segments(path), F.array().cast("array<string>"), lambda acc, s: F.when(s == "..", up(acc)).otherwise(F.concat(acc, F.array(s))))
+    return F.size(parts) >= 2
+
+
+def valid_repair_id(text: Column) -> Column:
+    """Whether all characters are printable ASCII."""
+    return text.rlike(r"^[\x20-\x7e]*\z")
+
+
+def short_ids(text: Column) -> Column:
+    """The text with each 40-digit id cut to 7 digits and a star."""
+    return F.regexp_replace(text, r"([^0-9a-z]|\b)([0-9a-z]{7})[0-9a-z]{33}([^0-9a-z]|\b)", "$1$2*$3")
+
+
+def parse_date(text: Column) -> Column:
+    """Seconds as a number, null where the text is none."""
+    return text.try_cast("double")
+
+
+def zone_text(seconds: Column) -> Column:
+    """'+0100' for seconds east of UTC."""
+    minutes = F.floor(F.abs(seconds) / 60)
+    return F.concat(F.when(seconds < 0, "-").otherwise("+"), F.lpad(F.floor(minutes / 60).cast("string"), 2, "0"), F.lpad((minutes % 60).cast("string"), 2, "0"))
+
+
+def http_date(ns: Column) -> Column:
+    """'Thu, 01 Jan 1970 00:00:00' of nanoseconds, where the session's zone is UTC."""
+    return F.date_format(F.timestamp_seconds(floor_seconds(ns)), "EEE, dd MMM yyyy HH:mm:ss")
+
+
+def same_file(a: str, b: str, columns: Sequence[str]) -> Column:
+    """Whether two rows (aliases a and b) could be one file: all columns equal, nulls too."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
+def dot_path(path: Column) -> Column:
+    """A relative path marked by '/./' so that it can follow a URL's host; others stay."""
+    return F.when((path != "") & ~F.startswith(path, F.lit("/")), F.concat(F.lit("/./"), path)).otherwise(path)
+
+
+def _percent(text: Column, keep: str) -> Column:
+    """Each byte but those of ASCII in `keep`, percent-encoded with lower-case digits."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), 1)
+    plain = lambda h: F.decode(F.unhex(h), "UTF-8")
+    one = lambda h: F.when((h < "80") & plain(h).rlike(f"^[{keep}]$"), plain(h)).otherwise(F.concat(F.lit("%"), F.lower(h)))
+    return F.array_join(F.transform(pairs, one), "")
+
+
+def render_url(scheme: Column, user: Column, host: Column, port: Column, path: Column, dots: bool = False) -> Column:
+    """The URL of its parts (nulls and '' are left out). With a user, host or port a relative path is marked as dot_path does
+    where dots is true, and otherwise makes null; without them '//' stands only before a path that begins so itself."""
+    user, host, path = (F.coalesce(c, F.lit("")) for c in (user, host, path))
+    name = r"\-._~0-9a-zA-Z!$&'()*+,;="
+    mailed = F.when(user != "", F.concat(_percent(user, name + ":"), F.lit("@"))).otherwise("")
+    front = F.concat(scheme, F.lit("://"), mailed, _percent(host, name), F.when(port.isNotNull() & (port != 0), F.concat(F.lit(":"), port.cast("string"))).otherwise(""))
+    has_auth = (user != "") | (host != "") | port.isNotNull()
+    fits = (path == "") | F.startswith(path, F.lit("/"))
+    tail = dot_path(path) if dots else F.when(fits, path)
+    return F.when(has_auth, F.concat(front, tail)).when(F.startswith(path, F.lit("//")), F.concat(front, path)).otherwise(F.concat(scheme, F.lit(":"), path))
+
+
+def remote_parts(remote: Column) -> Column:
+    """(user, host, path) of 'user@host:path', as remote repositories are named where no URL is; null without a colon or host,
+    but host '-' stands for none."""
+    user, rest = F.regexp_extract(remote, r"(?s)^(.*)@[^@]*$", 1), F.regexp_extract(remote, r"(?s)([^@]*)$", 1)
+    host = F.regexp_extract(rest, r"(?s)^([^:]*):", 1)
+    parts = F.struct(F.when(host != "-", user).otherwise("").alias("user"), F.when(host != "-", host).otherwise("").alias("host"), F.regexp_extract(rest, r"(?s)^[^:]*:(.*)$", 1).alias("path"))
+    return F.when(rest.contains(":") & (host != ""), parts)
+
+
+_ESCAPES = {7: r"\a", 8: r"\b", 9: r"\t", 10: r"\n", 11: r"\v", 12: r"\f", 13: r"\r", 27: r"\e", 39: r"\'", 92: r"\\"}
+
+
+def dollar_quote(text: Column) -> Column:
+    """A word in the $'...' form of a POSIX shell; characters from 128 up stay as they are."""
+    special = F.create_map(*(F.lit(x) for n in (*range(32), 39, 92, 127) for x in (chr(n), _ESCAPES.get(n, rf"\x{n:02x}"))))
+    every = F.transform(F.regexp_extract_all(text, F.lit("(?s)(.)"), 1), lambda c: F.coalesce(F.try_element_at(special, c), c))
+    return F.concat(F.lit("$'"), F.array_join(every, ""), F.lit("'"))
+
+
+def terminal_text(text: Column) -> Column:
+    """A path as a shell word that is safe to print: control characters make it $'...', blanks and the like '...'."""
+    return (
+        F.when(text.rlike(r"[\x00-\x1f\x7f]"), dollar_quote(text))
+        .when(text.rlike(r"^[\p{L}\p{N}_./+:@%,=-]+\z"), text)
+        .otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\\''")), F.lit("'")))
+    )
+
+
 def risky_path(path: Column) -> Column:
     """Whether extraction would leave the target folder."""
     return path.rlike(r"^/|/\.\./|^\.\./|/\.\.$")

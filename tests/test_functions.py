@@ -52,7 +52,7 @@ def test_marks(spark):
 def test_quoting_and_urls(spark):
     assert _one(spark, scalars.shell_quote, "a/b.c", "a b", "it's", "") == ["a/b.c", "'a b'", "'it'\"'\"'s'", "''"]
     assert _one(spark, scalars.sql_literal, "a'b") == ["'a''b'"]
-    assert _one(spark, codecs.terminal_text, "a/b", "a b", "a\nb", "it's", None) == ["a/b", "'a b'", "$'a\\nb'", "'it'\\''s'", None]
+    assert _one(spark, scalars.terminal_text, "a/b", "a b", "a\nb", "it's", None) == ["a/b", "'a b'", "$'a\\nb'", "'it'\\''s'", None]
     urls = ["ssh://u:p@h:22/x/y", "file:/./a", "http://h/./rel", "x", "s://h"]
     found = _one(spark, lambda c: F.to_json(scalars.url_parts(c), {"ignoreNullFields": "false"}), *urls)
     assert found[0] == '{"scheme":"ssh","user":"u","host":"h","port":22,"path":"/x/y"}'
