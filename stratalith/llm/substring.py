@@ -9,6 +9,7 @@ its hash is made of the names of its two halves (Karp, Miller and Rosenberg), so
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalith.llm import textkernel as K
-from stratalith.llm.common import drop_settled, group_bounds, has_text, settle, sorted_groups
+from stratalith.llm.common import drop_settled, few, free_name, group_bounds, has_text, settle, sorted_groups
 
 MIN_WORDS = 50
 #: Runs of one class that a task holds at once.
 PART_ROWS = 100_000
 _RUN = "class long, doc_id long, start int, hashes binary"
-_NAMED = "doc_id long, start int, names binary"
+_NAMED = "doc_id long, start int, names binary, later boolean"
 
 
 def _binary(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -73,9 +74,11 @@ def _windows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return names, table.column("doc_id").to_numpy()[row], at
 
 
-def _named(names: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    stretch = np.r_[0, np.flatnonzero((doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)) + 1, len(doc)]
-    return pa.RecordBatch.from_arrays([pa.array(doc[stretch[:-1]]), pa.array(at[stretch[:-1]].astype(np.int32)), _binary(names, stretch)], names=["doc_id", "start", "names"])
+def _named(names: np.ndarray, doc: np.ndarray, at: np.ndarray, later: np.ndarray) -> pa.RecordBatch:
+    cut = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (later[1:] != later[:-1])
+    stretch = np.r_[0, np.flatnonzero(cut) + 1, len(doc)]
+    first = stretch[:-1]
+    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(at[first].astype(np.int32)), _binary(names, stretch), pa.array(later[first])], names=["doc_id", "start", "names", "later"])
 
 
 class _Repeats:
@@ -84,26 +87,28 @@ class _Repeats:
     def __init__(self) -> None:
         self.pending = self.known = (np.zeros(0, dtype=K.U64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
 
-    def add(self, names: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The windows, of these and of those met before, that are found to be repeated now."""
+    def add(self, names: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The windows, of these and of those met before, that are found to be repeated now, and whether a document with a lesser
+        id has the window too (documents come in order of their ids)."""
         own, kept = len(names), len(self.pending[0])
         names, doc, at = (np.concatenate(x) for x in zip((names, doc, at), self.pending, self.known, strict=True))
         order = np.argsort(names, kind="stable")
         groups = group_bounds(names[order])
         least, most = np.minimum.reduceat(doc[order], groups[:-1]), np.maximum.reduceat(doc[order], groups[:-1])
-        twice = np.zeros(len(names), dtype=bool)
+        twice, later = np.zeros(len(names), dtype=bool), np.zeros(len(names), dtype=bool)
         twice[order] = np.repeat(least != most, np.diff(groups))
+        later[order] = doc[order] > np.repeat(least, np.diff(groups))
         window = np.arange(len(names)) < own + kept
         found, rest = twice & window, ~twice & window
         self.pending = names[rest], doc[rest], at[rest]
         first = names[order][groups[:-1]]
         several = least != most
         self.known = np.r_[first, first[several]], np.r_[least, most[several]], np.zeros(len(first) + int(several.sum()), dtype=np.int64)
-        return names[found], doc[found], at[found]
+        return names[found], doc[found], at[found], later[found]
 
 
 def _repeated(part_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of runs sorted by class, the windows that occur in two documents at least, with a 64-bit name for each. A class of
+    """Of runs sorted by class and document, the windows that occur in two documents at least, with a 64-bit name for each. A class of
     more than part_rows runs is taken in parts, with only its distinct windows in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +200,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, part_rows: in
     runs = has_text(docs).mapInArrow(_first_level(min_words), _RUN)
     length, found, spans = min_words, [], None
     while True:
-        kept = settle(runs.repartition("class").sortWithinPartitions("class").mapInArrow(_repeated(part_rows), _NAMED), "windows")
+        kept = settle(runs.repartition("class").sortWithinPartitions("class", "doc_id").mapInArrow(_repeated(part_rows), _NAMED), "windows")
         by_doc = kept.repartition("doc_id").sortWithinPartitions("doc_id")
         level = settle(by_doc.mapInArrow(_spans(length), "doc_id long, start_word int, end_word int"), "spans")
         if spans is None:
@@ -217,3 +222,48 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, part_rows: in
     longer = longer.select(F.col("doc_id").alias("d"), F.col("start_word").alias("s"), F.col("end_word").alias("e"), "longest")
     joined = spans.join(longer, (F.col("doc_id") == F.col("d")) & (F.col("s") >= F.col("start_word")) & (F.col("e") <= F.col("end_word")), "left")
     return joined.groupBy("doc_id", "start_word", "end_word").agg(F.coalesce(F.max("longest"), F.lit(min_words)).alias("longest"))
+
+
+def later_passages(docs: DataFrame, min_words: int = MIN_WORDS, part_rows: int = PART_ROWS) -> DataFrame:
+    """(doc_id, start_word, end_word): the stretches of repeated_passages without first occurrences: maximal unions of windows of
+    min_words words each of which a document with a lesser id has too. See repeated_passages for the rest."""
+    runs = has_text(docs).mapInArrow(_first_level(min_words), _RUN).repartition("class").sortWithinPartitions("class", "doc_id")
+    kept = runs.mapInArrow(_repeated(part_rows), _NAMED).where("later").drop("later")
+    return kept.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_spans(min_words), "doc_id long, start_word int, end_word int")
+
+
+_WORD = re.compile(rb"[^\t\n\x0b\x0c\r ]+")
+
+
+def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """text without the words of spans (start, end), and without the white space behind each of them."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    out, at = [], 0
+    for a, b in sorted(spans):
+        out.append(text[at : words[a][0]])
+        at = words[b][0] if b < len(words) else len(text)
+    return b"".join(out) + text[at:]
+
+
+def _cutter(text: int, spans: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t if not s else cut_words(t.encode(), [(x["start_word"], x["end_word"]) for x in s]).decode() for t, s in zip(batch.column(text).to_pylist(), batch.column(spans).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == text else batch.column(i) for i in range(batch.num_columns) if i != spans], names=[n for i, n in enumerate(batch.schema.names) if i != spans])
+
+    return run
+
+
+def drop_repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, part_rows: int = PART_ROWS) -> DataFrame:
+    """docs with every repeated passage cut from all documents but the one with the least id: the words of later_passages go,
+    with the white space behind each stretch. All columns and rows stay, documents left without words too.
+
+    Null ids and texts stay as they are, and so do the rows of a doc_id that has several texts; their passages still count as
+    occurrences for others. Only rows that are cut travel beyond their task where the stretches are counted to be few."""
+    spans = later_passages(docs, min_words, part_rows)
+    several = has_text(docs).groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a <> b").select("doc_id")
+    spans = settle(spans.join(few(settle(several, "several")), "doc_id", "left_anti"), "later")
+    doc, cuts = free_name(docs, "__sl_doc"), free_name(docs, "__sl_cuts")
+    grouped = settle(spans.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(cuts)), "cuts")  # a document's own
+    joined = docs.join(few(grouped), docs["doc_id"] == F.col(doc), "left").drop(doc)
+    return joined.mapInArrow(_cutter(docs.columns.index("text"), len(docs.columns)), docs.schema)

@@ -103,3 +103,42 @@ def test_windows_of_one_class_differ_by_their_whole_hash():
     assert len(set(names.tolist())) == 3 and names[0] == names[3]
     found = list(substring._repeated(100)(iter([runs])))
     assert sorted(i for b in found for i in b.column("doc_id").to_pylist()) == [0, 3]
+
+
+@pytest.mark.parametrize("part_rows", [3, 100_000])
+def test_all_but_first_occurrences_are_cut(spark, part_rows):
+    """Against brute force over windows: a word goes where a window that holds it occurs in a document with a lesser id."""
+    r = random.Random(8)
+    shared = [tables.soup(100 + k, 30, 10**6) for k in range(4)]
+    rows = []
+    for i in range(40):
+        words = tables.soup(i, 25, 10**6)
+        for k in r.sample(range(4), r.randrange(3)):
+            cut = r.randrange(10)
+            words += shared[k][cut:] + tables.soup(1000 + 10 * i + k, r.randrange(5), 10**6)
+        rows.append((i * 7 % 41, r.choice([" ", "\n", "  "]).join(words)))
+    n, seen, expected = 12, {}, {}
+    for i, text in rows:
+        words = text.split()
+        for k in range(len(words) - n + 1):
+            seen.setdefault(tuple(words[k : k + n]), set()).add(i)
+    for i, text in rows:
+        words = text.split()
+        gone = {j for k in range(len(words) - n + 1) if min(seen[tuple(words[k : k + n])]) < i for j in range(k, k + n)}
+        expected[i] = [w for j, w in enumerate(words) if j not in gone]
+    found = {x["doc_id"]: x["text"].split() for x in substring.drop_repeated_passages(tables.docs(spark, rows), n, part_rows).collect()}
+    assert found == expected and sum(map(len, expected.values())) < sum(len(t.split()) for _, t in rows)
+    assert substring.later_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in expected.items()], "doc_id long, text string"), n).isEmpty()
+
+
+def test_cutting_irregular_rows(spark):
+    d = tables.messy(spark).withColumnRenamed("key", "__sl_doc")
+    out = substring.drop_repeated_passages(d)
+    assert out.schema == d.schema
+    left = sorted((str(x["doc_id"]), len((x["text"] or "").split())) for x in out.collect())
+    full = sorted((str(x["doc_id"]), 0 if x["doc_id"] in (2, 3) else len((x["text"] or "").split())) for x in d.collect())
+    assert left == full
+    two = spark.createDataFrame([(1, " ".join(tables.soup(1, 60))), (2, " ".join(tables.soup(1, 60))), (2, "other")], "doc_id long, text string")
+    assert sorted(map(tuple, substring.drop_repeated_passages(two).collect())) == sorted(map(tuple, two.collect()))
+    assert substring.drop_repeated_passages(tables.empty(spark)).count() == 0
+    assert substring.cut_words(b" a  b\tc d ", [(1, 3)]) == b" a  d " and substring.cut_words(b"a b", [(0, 2)]) == b""
