@@ -92,6 +92,17 @@ def word_count() -> Column:
     return F.regexp_count("text", F.lit(r"\S+")).cast("long")
 
 
+def pack_lengths(lengths: DataFrame, window: int = WINDOW, most_open: int = OPEN, merged: int = MERGED_PARTITIONS) -> DataFrame:
+    """As pack_documents, of rows (doc_id, tokens); those with a null, or without tokens, have no piece."""
+    lengths = lengths.where("doc_id IS NOT NULL AND tokens > 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("tokens").cast("long").alias("tokens"))
+    windows = settle(lengths.mapInArrow(_first(window, most_open), _DDL), "windows")
+    left = windows.where("open").withColumn("task", F.shiftright("window_id", 36) / merged)
+    # Deterministic: the rows of a task are sorted by how full they are, then by window.
+    again = left.withColumn("task", F.floor("task")).repartition("task").sortWithinPartitions(F.desc("used"), "window_id").drop("task")
+    packed = windows.where("NOT open").unionByName(again.mapInArrow(_merge(window, most_open), _DDL))
+    return packed.select("window_id", "used", F.size("pieces").alias("n_pieces"), F.col("pieces.doc_id").alias("doc_ids"), F.col("pieces.start").alias("starts"), F.col("pieces.length").alias("lengths"))
+
+
 def pack_documents(docs: DataFrame, tokens: Column | None = None, window: int = WINDOW, most_open: int = OPEN, merged: int = MERGED_PARTITIONS) -> DataFrame:
     """(window_id, used, n_pieces, doc_ids, starts, lengths): windows of at most `window` tokens that hold every token of docs once.
 
@@ -103,10 +114,5 @@ def pack_documents(docs: DataFrame, tokens: Column | None = None, window: int =
     occur; ties fall to the older window. An empty table gives no rows. Other columns are ignored. window_id is unique;
     which documents share a window depends on how the input is partitioned, and is the same whenever that is.
     """
-    lengths = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), (word_count() if tokens is None else tokens.cast("long")).alias("tokens"))
-    windows = settle(lengths.where("tokens > 0").mapInArrow(_first(window, most_open), _DDL), "windows")
-    left = windows.where("open").withColumn("task", F.shiftright("window_id", 36) / merged)
-    # Deterministic: the rows of a task are sorted by how full they are, then by window.
-    again = left.withColumn("task", F.floor("task")).repartition("task").sortWithinPartitions(F.desc("used"), "window_id").drop("task")
-    packed = windows.where("NOT open").unionByName(again.mapInArrow(_merge(window, most_open), _DDL))
-    return packed.select("window_id", "used", F.size("pieces").alias("n_pieces"), F.col("pieces.doc_id").alias("doc_ids"), F.col("pieces.start").alias("starts"), F.col("pieces.length").alias("lengths"))
+    lengths = docs.where("text IS NOT NULL").select("doc_id", (word_count() if tokens is None else tokens).alias("tokens"))
+    return pack_lengths(lengths, window, most_open, merged)

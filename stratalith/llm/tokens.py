@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 from stratalith.llm import textkernel as K
 
@@ -225,6 +226,19 @@ def counter(vocabulary: str) -> PrefixCounter:
     return PrefixCounter(vocabulary)
 
 
+def _sent(spark: SparkSession, vocabulary: str) -> str:
+    """Has the vocabulary file sent to every executor; returns the name that _there() finds it by."""
+    sent = spark.__dict__.setdefault("_stratalith_files", set())
+    if vocabulary not in sent:
+        spark.sparkContext.addFile(vocabulary)
+        sent.add(vocabulary)
+    return vocabulary.rsplit("/", 1)[-1]
+
+
+def _there(name: str) -> str:
+    return SparkFiles.get(name)
+
+
 def pack_counts(deltas: np.ndarray) -> bytes:
     """Deltas in a byte each (in two where a byte is too small), deflated."""
     small = not len(deltas) or (deltas.min() >= -128 and deltas.max() <= 127)
@@ -242,9 +256,27 @@ def fitting(counts: np.ndarray, budget: int) -> int:
     return int(len(counts) - 1 - np.argmax(counts[::-1] <= budget))
 
 
-def _counter(vocabulary: str, budgets: Sequence[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _totals(name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = counter(_there(name)).encode
+        for batch in batches:
+            for block in K.blocks(batch, "text"):
+                counts = [None if t is None else len(encode(t)) for t in block.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "tokens"])
+
+    return run
+
+
+def token_totals(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, tokens) for every row of docs: n_tokens of token_counts() alone, by encoding each text once. See there for nulls,
+    repeated rows and empty tables."""
+    name = _sent(docs.sparkSession, vocabulary)
+    return docs.select("doc_id", "text").mapInArrow(_totals(name), "doc_id long, tokens long")
+
+
+def _counter(name: str, budgets: Sequence[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(vocabulary)
+        count = counter(_there(name))
         for batch in batches:
             for block in K.blocks(batch, "text"):
                 totals, packed, cuts = [], [], []
@@ -277,6 +309,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, budgets: Sequenc
     cut_at gives, for each of budgets, the length in characters of the longest prefix with at most so many tokens.
 
     A null text has nulls, the empty text 0 tokens. Null and repeated doc_ids stay as they are. An empty table gives no
-    rows. Other columns are ignored, whatever their names. vocabulary is a path that every executor can read.
+    rows. Other columns are ignored, whatever their names. vocabulary is a path on the driver; the file is sent to the executors.
     """
-    return docs.select("doc_id", "text").mapInArrow(_counter(vocabulary, tuple(budgets)), "doc_id long, n_tokens long, prefix_counts binary, cut_at array<int>")
+    name = _sent(docs.sparkSession, vocabulary)
+    return docs.select("doc_id", "text").mapInArrow(_counter(name, tuple(budgets)), "doc_id long, n_tokens long, prefix_counts binary, cut_at array<int>")

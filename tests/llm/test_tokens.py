@@ -81,3 +81,10 @@ def test_equal_hashes_are_told_apart(counter, monkeypatch):
     fresh = tokens.PrefixCounter()
     for text in ["one two three, four! two one " * 3, "it's a dogs' dinner 12 34 12", "x" * 200 + " " + "y" * 200 + " " + "x" * 200]:
         assert fresh.prefix_counts(text).tolist() == [len(fresh.encode(text[:i])) for i in range(len(text) + 1)]
+
+
+def test_totals_are_those_of_the_prefix_counts(spark):
+    d = tables.messy(spark)
+    whole = sorted((str(r["doc_id"]), r["n_tokens"] if r["n_tokens"] is not None else -1) for r in tokens.token_counts(d).collect())
+    assert sorted((str(r["doc_id"]), r["tokens"] if r["tokens"] is not None else -1) for r in tokens.token_totals(d).collect()) == whole
+    assert tokens.token_totals(tables.empty(spark)).count() == 0
