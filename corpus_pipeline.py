@@ -12,8 +12,9 @@ from stratalith.llm.common import drop_settled, settle_last
 from stratalith.llm.exact import drop_exact_duplicates
 from stratalith.llm.mixing import mix_documents
 from stratalith.llm.neardup import drop_near_duplicates
-from stratalith.llm.packing import pack_documents
+from stratalith.llm.packing import pack_lengths
 from stratalith.llm.quality import drop_low_quality
+from stratalith.llm.tokens import token_totals
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +51,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training windows of 4096 words.
+    """Training windows of 4096 tokens of the byte-pair vocabulary.
 
-    Rows with a null doc_id, and null, empty or wordless texts, have no piece; longer texts are cut at window lengths; repeated
+    Rows with a null doc_id, and null or empty texts, have no piece; longer texts are cut at window lengths; repeated
     rows are packed as often as they occur; of equally full windows the older is taken. An empty table gives no windows."""
-    return pack_documents(docs)
+    return pack_lengths(token_totals(docs))
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
