@@ -141,6 +141,15 @@ def cut(data: np.ndarray, bounds: np.ndarray, bits: int = BITS, fan_bits: int =
     return owner, end, level
 
 
+def is_cut(data: np.ndarray, start: int, end: int, bits: int = BITS) -> bool:
+    """Whether the chunk data[start:end] ends where its checksum or its length cuts it, and not only where data does."""
+    if end - start == 1 << (bits + 2):
+        return True
+    m1, m2 = _masks(bits)
+    digest = int(digests(data, np.array([end - 1]), np.array([start]))[0])
+    return digest & m2 == m2 and (digest >> 16) & m1 == m1
+
+
 def blob_id(data: bytes | memoryview) -> str:
     h = hashlib.sha1(b"blob %d\0" % len(data))
     h.update(data)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratalith.functions import scalars
 from stratalith.operators import dirsplit, history, membership, snapshot, vfs
 from stratalith.plans.catalogue import _ENTRIES, _IDS, _OID, _PATH, _documents, _entries, _paths, _query, table
+from stratalith.sources import faults
 from stratalith.streaming import ingest
 
 # ---- scans and name sets
@@ -253,3 +254,41 @@ def flatten_splits(spark, d):
 def channel_totals(spark, d):
     framed = ingest.frames(table(spark, d, "events").select("event_id", "event_type", F.encode("props", "UTF-8").alias("props")), F.col("event_type"), "event_id", "props", 16)
     return framed.groupBy("channel").agg(F.count_if(F.col("part") == 0).alias("events"), F.sum("len").cast("long").alias("bytes"))
+
+
+# ---- faults and examples
+
+
+@_query(
+    "WITH d AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents WHERE text <> '') "
+    "SELECT doc_id, sha1(unhex(substr(h, 1, 2 * (doc_id * 31 % n)) || printf('%02X', doc_id % 256) || substr(h, 2 * (doc_id * 31 % n) + 3))) AS digest FROM d"
+)
+def damaged_contents(spark, d):
+    docs = table(spark, d, "documents").where("text <> ''")
+    return docs.select("doc_id", F.sha1(faults.damage(F.encode("text", "UTF-8"), F.col("doc_id") * 31, F.col("doc_id") % 256)).alias("digest"))
+
+
+@_query(f"SELECT doc_id, {_OID} AS oid FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE lang = 'de' AND text IS NOT NULL)")
+def perforated(spark, d):
+    return faults.perforate(_documents(spark, d).where("text IS NOT NULL").select("doc_id", "oid"), _ids(table(spark, d, "documents").where("lang = 'de'"))).select("doc_id", "oid")
+
+
+@_query("SELECT printf('%04X', i) AS name FROM range(10000) t(i)")
+def splittable_names(spark, d):
+    return faults.splittable_names(spark)
+
+
+@_query(f"SELECT n.name, coalesce(min(d.kind), 'none') AS kind FROM (SELECT DISTINCT {_OID} AS name FROM (SELECT text FROM conversations UNION ALL SELECT text FROM documents)) n LEFT JOIN (SELECT {_OID} AS name, 'blob' AS kind FROM documents) d USING (name) WHERE n.name IS NOT NULL GROUP BY n.name")
+def batch_fetch(spark, d):
+    """Many ids asked for at once; those that are not stored are answered with a null."""
+    asked = _ids(table(spark, d, "conversations")).unionByName(_ids(table(spark, d, "documents"))).where("oid IS NOT NULL").distinct()
+    stored = _documents(spark, d).select("oid", F.lit("blob").alias("kind")).distinct()
+    return asked.join(stored, "oid", "left").select(F.col("oid").alias("name"), F.coalesce("kind", F.lit("none")).alias("kind"))
+
+
+@_query(f"SELECT doc_id, sha1(text) AS digest FROM documents WHERE {_OID} IN (SELECT {_OID} FROM documents JOIN labels USING (doc_id))")
+def contents_of_ids(spark, d):
+    """Contents found again by a list of ids: those of the labelled documents, with all their copies."""
+    ids = _ids(table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id"))
+    docs = table(spark, d, "documents").join(_documents(spark, d).select("doc_id", "oid"), "doc_id")
+    return membership.exists(docs, ids).select("doc_id", F.sha1(F.encode("text", "UTF-8")).alias("digest"))

@@ -139,6 +139,22 @@ class Repository:
             rows = rows.unionByName(self.spark.createDataFrame([(name, new)], _REFS))
         self._replace_at(number, versions, {"refs": rows.coalesce(1)})
 
+    def refs(self, prefix: str = "refs/") -> DataFrame:
+        """(name, oid) of the references below prefix."""
+        return self.table("refs").where(F.startswith("name", F.lit(prefix)))
+
+    def resolve(self, names: DataFrame) -> DataFrame:
+        """(name, oid) of names (name): a branch's tip, otherwise the stored object of that id, null where there is neither."""
+        return history.resolve_names(names, self.refs("refs/heads/"), self.table("objects"))
+
+    def fetch(self, ids: DataFrame) -> DataFrame:
+        """(oid, kind, size, content) of every id of ids (oid), all in one join; nulls where it is not stored."""
+        return ids.select("oid").distinct().join(self.table("objects").select("oid", "kind", "size", "content"), "oid", "left")
+
+    def fetch_ref(self, name: str) -> DataFrame:
+        """fetch() of what a reference points to."""
+        return self.fetch(self.table("refs").where(F.col("name") == name).select("oid"))
+
     def tag(self, name: str, oid: str, force: bool = False) -> None:
         """Names a stored object; only with force a name that is taken."""
         if not name or name.startswith("."):

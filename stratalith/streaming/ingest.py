@@ -1,14 +1,17 @@
-"""Incremental forms: ingest that stores unseen objects, listings kept up to date, framed channels, record splitting with state."""
+"""Incremental forms: ingest that stores unseen objects, listings kept up to date, framed channels, splitting of records and of
+bytes with state."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from stratalith.operators import chunking
 from stratalith.operators.dirsplit import RecordSplitter
 
 PACKET = 128 * 1024
@@ -91,3 +94,33 @@ def split_records(stream: DataFrame, key: str, order: str, record: str, bits: in
 
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("ord"), F.col(record).alias("record"))
     return rows.groupBy("key").applyInPandasWithState(run, "key string, ord long, splits boolean", "window binary, place int, s1 long, s2 long, size long", "append", GroupStateTimeout.NoTimeout)
+
+
+def split_bytes(stream: DataFrame, key: str, order: str, content: str, last: str, bits: int = chunking.BITS, fan_bits: int = chunking.FAN_BITS) -> DataFrame:
+    """(key, seq, ofs, len, level, oid) for a stream of pieces of contents: the chunks of each key's pieces laid end to end, as
+    chunking.chunks gives for the whole, of any size. A row with `last` true ends its content, and what is open is then a chunk.
+
+    The state of a key is what follows its last cut (less than 2**(bits + 2) bytes), its offset and number; pieces of a batch
+    are taken in `order`, and later batches hold later pieces."""
+
+    def run(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tail, ofs, seq = state.get if state.exists else (b"", 0, 0)
+        rows = pd.concat(list(parts)).sort_values("ord", kind="stable")
+        ended = bool(rows["last"].any())
+        data = bytes(tail) + b"".join(bytes(c) for c in rows["content"] if c is not None)
+        flat = np.frombuffer(data, dtype=np.uint8)
+        _, end, level = chunking.cut(flat, np.array([0, len(data)]), bits, fan_bits)
+        start = np.r_[0, end[:-1]] if len(end) else end
+        if len(end) and not ended and not chunking.is_cut(flat, int(start[-1]), int(end[-1]), bits):
+            start, end, level = start[:-1], end[:-1], level[:-1]
+        done = int(end[-1]) if len(end) else 0
+        view = memoryview(data)
+        oids = [chunking.blob_id(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        if ended:
+            state.remove()
+        else:
+            state.update((data[done:], ofs + done, seq + len(end)))
+        yield pd.DataFrame({"key": group[0], "seq": np.arange(seq, seq + len(end)), "ofs": start + ofs, "len": end - start, "level": level, "oid": oids})
+
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("ord"), F.col(content).alias("content"), F.coalesce(F.col(last), F.lit(False)).alias("last"))
+    return rows.groupBy("key").applyInPandasWithState(run, "key string, seq int, ofs long, len int, level int, oid string", "tail binary, ofs long, seq int", "append", GroupStateTimeout.NoTimeout)

@@ -318,3 +318,48 @@ def test_rewriting_again_uses_the_memo(spark, tmp_path):
     saves = new.table("saves").count()
     assert new.rewrite(repo, "refs/heads/main", "main", bits=14) == tip and new.table("saves").count() == saves
     assert new.table("saves").first()["author"] == "Ann <ann@x>"
+
+
+def test_bytes_split_across_batches(spark, tmp_path):
+    import random
+
+    from stratalith.operators import chunking
+
+    r = random.Random(3)
+    whole = {"a": r.randbytes(150_000), "b": bytes(90_000) + r.randbytes(40_000), "c": b"", "d": b"short"}
+    pieces = []
+    for key, content in whole.items():
+        at = 0
+        while at < len(content):
+            n = r.choice([1, 63, 5000, 40_000])
+            pieces.append((key, at, bytearray(content[at : at + n]), at + n >= len(content)))
+            at += n
+    pieces.sort(key=lambda p: p[1])
+    for k in range(3):
+        part = pieces[len(pieces) * k // 3 : len(pieces) * (k + 1) // 3]
+        spark.createDataFrame(part, "key string, n long, content binary, last boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = ingest.split_bytes(ingest.stream_table(spark, f"{tmp_path}/in"), "key", "n", "content", "last")
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    found = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("key", "seq", "ofs", "len", "level", "oid").collect()))
+    keys = sorted(whole)
+    rows = spark.createDataFrame([(i, bytearray(whole[k])) for i, k in enumerate(keys)], "i long, content binary")
+    expected = sorted((keys[x["i"]], x["seq"], x["ofs"], x["len"], x["level"], x["oid"]) for x in chunking.chunks(rows, "i", F.col("content")).collect())
+    assert found == expected
+
+
+def test_fetching_many_at_once(spark, tmp_path):
+    repo = Repository(spark, f"{tmp_path}/r")
+    oid = repo.save("main", _files(spark, {"/a": b"one"}), 1000)
+    repo.tag("t", oid)
+    asked = spark.createDataFrame([(oid,), ("00" * 20,), (oid,)], "oid string")
+    assert {r["oid"]: r["kind"] for r in repo.fetch(asked).collect()} == {oid: "commit", "00" * 20: None}
+    assert repo.fetch_ref("refs/tags/t").first()["oid"] == oid and repo.refs("refs/tags/").count() == 1
+    names = spark.createDataFrame([("main",), (oid,), ("none",)], "name string")
+    assert {r["name"]: r["oid"] for r in repo.resolve(names).collect()} == {"main": oid, oid: oid, "none": None}
+
+
+def test_paths_at_random_depend_on_the_seed(spark):
+    from stratalith.sources import faults
+
+    a, b, c = ([r["path"] for r in faults.random_paths(spark, 50, s).orderBy("id").collect()] for s in (1, 1, 2))
+    assert a == b != c and all(1 <= p.count("/") <= 4 for p in a)
