@@ -80,6 +80,33 @@ def encode_bytes(data: bytes) -> bytes:
     return encode_vuint(len(data)) + data
 
 
+def pack(kinds: str, *values: int | bytes) -> bytes:
+    """Values one after another, by a letter each: V unsigned, v signed, s bytes with their length."""
+    if len(kinds) != len(values):
+        raise ValueError(f"{len(values)} values for {len(kinds)} kinds")
+    encode = {"V": encode_vuint, "v": encode_vint, "s": encode_bytes}
+    return b"".join(encode[k](v) for k, v in zip(kinds, values, strict=True))
+
+
+def unpack(kinds: str, data: bytes) -> list[int | bytes]:
+    """What pack() put together; data that ends early or goes on is an error."""
+    out: list[int | bytes] = []
+    at = 0
+    try:
+        for k in kinds:
+            value, at = decode_vint(data, at) if k == "v" else decode_vuint(data, at)
+            if k == "s":
+                if at + value > len(data):
+                    raise IndexError
+                value, at = data[at : at + value], at + value
+            out.append(value)
+    except IndexError:
+        raise ValueError("the data ends early") from None
+    if at != len(data):
+        raise ValueError(f"{len(data) - at} bytes are left")
+    return out
+
+
 @F.pandas_udf(LongType())
 def vint_value(encoded: pd.Series) -> pd.Series:
     """BIGINT of an encoded integer, null for null."""

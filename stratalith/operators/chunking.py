@@ -311,8 +311,7 @@ def cut_out(content: Column) -> Column:
 
 def join_chunks(parts: DataFrame, key: str, content: str = "part") -> DataFrame:
     """(key, content): chunks (key, seq, content) put together again in order."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.hex(content).alias("h")))), lambda x: x["h"])
-    return parts.groupBy(key).agg(F.unhex(F.array_join(ordered, "")).alias("content"))
+    return parts.groupBy(key).agg(F.expr(f"listagg(`{content}`) WITHIN GROUP (ORDER BY seq)").alias("content"))
 
 
 def read_range(parts: DataFrame, key: str, begin: Column, size: Column, content: str = "part") -> DataFrame:

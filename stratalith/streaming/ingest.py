@@ -74,8 +74,7 @@ def frames(rows: DataFrame, channel: Column, order: str, payload: str, most: int
 
 def unframe(framed: DataFrame) -> DataFrame:
     """(channel, ord, payload) put together from frames."""
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", F.hex("payload").alias("h")))), lambda x: x["h"]), "")
-    return framed.groupBy("channel", "ord").agg(F.unhex(whole).alias("payload"))
+    return framed.groupBy("channel", "ord").agg(F.expr("listagg(payload) WITHIN GROUP (ORDER BY part)").alias("payload"))
 
 
 def split_records(stream: DataFrame, key: str, order: str, record: str, bits: int = 13) -> DataFrame:

@@ -117,3 +117,32 @@ def test_columns_and_trees():
     assert codecs.columnate(["long word", "b"], 5) == "long word\nb\n"
     raw = b"100644 a\0" + bytes(20) + b"40000 d\0" + b"\x01" * 20
     assert codecs.decode_tree(raw) == [(0o100644, "a", "00" * 20), (0o40000, "d", "01" * 20)]
+
+
+@given(st.lists(st.one_of(st.tuples(st.just("V"), st.integers(0, 10**30)), st.tuples(st.just("v"), st.integers(-(10**30), 10**30)), st.tuples(st.just("s"), st.binary(max_size=300))), max_size=8))
+def test_typed_values_come_back(items):
+    kinds, values = "".join(k for k, _ in items), [v for _, v in items]
+    data = codecs.pack(kinds, *values)
+    assert codecs.unpack(kinds, data) == values
+    with pytest.raises(ValueError):
+        codecs.unpack(kinds, data + b"x")
+    if data:
+        with pytest.raises(ValueError):
+            codecs.unpack(kinds, data[:-1])
+    with pytest.raises(ValueError):
+        codecs.pack(kinds + "V", *values)
+
+
+def test_quoting_of_control_characters(spark):
+    assert _one(spark, scalars.dollar_quote, "a\x01\x1b'\\\n\x7fé") == [r"$'a\x01\e\'\\\n\x7fé'"]
+
+
+def test_remotes_and_urls(spark):
+    found = _one(spark, scalars.remote_parts, "u@h:/p:q", "x@y@h:p", "h:", "-:p", ":p", "none", None)
+    assert [tuple(x) if x else None for x in found] == [("u", "h", "/p:q"), ("x@y", "h", "p"), ("", "h", ""), ("", "", "p"), None, None, None]
+    made = lambda *parts, dots=False: spark.range(1).select(scalars.render_url(*(F.lit(p) for p in parts), dots=dots)).first()[0]
+    none = None
+    assert made("ssh", "u", "h", 22, "/p") == "ssh://u@h:22/p"
+    assert made("ssh", "", "h", none, "p", dots=True) == "ssh://h/./p" and made("ssh", "", "h", none, "p") is None
+    assert made("file", "", "", none, "/p") == "file:/p" and made("file", "", "", none, "//p") == "file:////p"
+    assert made("ssh", "a b:é", "h_@", none, "") == "ssh://a%20b:%c3%a9@h_%40"
