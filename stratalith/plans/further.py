@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratalith.functions import scalars
 from stratalith.operators import dirsplit, history, membership, snapshot, vfs
 from stratalith.plans.catalogue import _ENTRIES, _IDS, _OID, _PATH, _documents, _entries, _paths, _query, table
-from stratalith.sources import faults
+from stratalith.sources import faults, files
 from stratalith.streaming import ingest
 
 # ---- scans and name sets
@@ -292,3 +292,38 @@ def contents_of_ids(spark, d):
     ids = _ids(table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id"))
     docs = table(spark, d, "documents").join(_documents(spark, d).select("doc_id", "oid"), "doc_id")
     return membership.exists(docs, ids).select("doc_id", F.sha1(F.encode("text", "UTF-8")).alias("digest"))
+
+
+# ---- imports and archives
+
+
+@_query("SELECT floor(epoch(ts))::bigint AS utc, event_type AS kind FROM events WHERE event_type <> 'view'")
+def increment_times(spark, d):
+    at = F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")
+    lines = table(spark, d, "events").select(F.concat_ws(" ", F.when(F.col("event_type") == "view", F.lit("at")), at, "event_type").alias("value"))
+    return files.increment_times(lines)
+
+
+@_query(
+    "SELECT p_brand || '/' || p_partkey || CASE WHEN p_type = 'SMALL' THEN '/' ELSE '' END AS path, CASE WHEN p_type = 'SMALL' THEN 16877 ELSE 33188 END::bigint AS mode, p_partkey AS uid, p_name AS user, p_size::bigint AS size, -p_partkey AS mtime, CASE WHEN p_size < 9 THEN '../' || p_name END AS symlink FROM part"
+)
+def metadata_archive(spark, d):
+    """Scanned rows written to an archive and read back."""
+    small = F.col("p_type") == "SMALL"
+    rows = table(spark, d, "part").select(
+        F.concat(F.lit("/./"), "p_brand", F.lit("//"), "p_partkey", F.when(small, "/").otherwise("")).alias("path"),
+        F.when(small, 0o040755).otherwise(0o100644).alias("mode"),
+        F.col("p_partkey").alias("uid"),
+        F.col("p_name").alias("user"),
+        F.col("p_size").alias("size"),
+        (-F.col("p_partkey")).alias("mtime"),
+        F.when(F.col("p_size") < 9, F.concat(F.lit("../"), "p_name")).alias("target"),
+    )
+    return files.read_metadata(files.archive_metadata(rows)).select("path", "mode", "uid", "user", "size", "mtime", "symlink")
+
+
+@_query("SELECT a.p_partkey, CASE WHEN encode(a.p_name) < encode(b.p_name) THEN -1 WHEN a.p_name = b.p_name THEN 0 ELSE 1 END AS compared FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+def byte_order(spark, d):
+    part = table(spark, d, "part").select("p_partkey", F.encode("p_name", "UTF-8").alias("x"))
+    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("x").alias("y"))
+    return part.join(after, "p_partkey").select("p_partkey", F.when(F.col("x") < F.col("y"), -1).when(F.col("x") == F.col("y"), 0).otherwise(1).alias("compared"))

@@ -356,6 +356,13 @@ class Repository:
         memo = self.table("memo").where(F.col("bits") == bits).select("src", F.col("dst").alias("oid"))
         return memo.join(self.table("saves").select("oid", "parent").distinct(), "oid").select("src", F.col("oid").alias("dst"), "parent")
 
+    def walk(self, save: str, exclude: Sequence[str] = (), known: DataFrame | None = None) -> DataFrame:
+        """(path, mode, oid, size, mtime) of a save's files, without those that patterns of exclude hide (as in
+        snapshot.exclude_patterns) and those whose id is in known (oid), as converted before."""
+        rows = self.table("files").where(F.col("save") == save).select("path", "mode", "oid", "size", "mtime")
+        rows = snapshot.exclude_patterns(rows, exclude) if exclude else rows
+        return rows if known is None else membership.missing(rows, known).select(*rows.columns)
+
     def damaged(self, save: str) -> DataFrame:
         """(path) of a save's files whose chunks are not all stored."""
         parts = self.table("chunks").join(self.table("objects").select("oid"), "oid", "left_anti").select(F.col("root").alias("oid"))

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from stratalith.functions.codecs import METADATA, metadata_fields, metadata_record
+from stratalith.functions.scalars import archive_path, extract_path
+
 SCHEMA = (
     "path string, dev long, ino long, nlink long, mode int, uid long, gid long, size long, mtime long, ctime long, is_mount boolean, "
     "user string, grp string, rdev long, target string, xattrs map<string,binary>, error string"
@@ -176,6 +179,32 @@ def backup_times(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.where(found != "").select(found.alias("kind"), F.unix_seconds(F.try_to_timestamp(stamp, F.lit("yyyyMMdd'T'HHmmss'Z'"))).alias("utc"))
 
 
+def increment_times(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(utc, kind) of a parsable list of increments: seconds and the kind of file on each line; other lines are left out."""
+    pattern = r"^\s*(\d+)\s+(\S+)\s*$"
+    rows = lines.select(F.regexp_extract(column, pattern, 1).try_cast("long").alias("utc"), F.regexp_extract(column, pattern, 2).alias("kind"))
+    return rows.where("utc IS NOT NULL")
+
+
+def archive_metadata(rows: DataFrame) -> DataFrame:
+    """(path, record) of scanned rows (as scan_tree gives): each path made relative, and its metadata as one encoded record."""
+    clean = archive_path(F.col("path"))
+    have = set(rows.columns)
+    names = {"mode": "mode", "uid": "uid", "user": "user", "gid": "gid", "grp": "grp", "rdev": "rdev", "mtime": "mtime", "ctime": "ctime", "size": "size", "symlink": "target"}
+    fields = [clean.alias("path"), *((F.col(c).cast("long") if METADATA[n].dataType.simpleString() == "bigint" else F.col(c)).alias(n) for n, c in names.items() if c in have)]
+    return rows.select(clean.alias("path"), metadata_record(F.struct(*fields)).alias("record"))
+
+
+def read_metadata(archive: DataFrame, strict: bool = True) -> DataFrame:
+    """(path, and the fields of METADATA) of an archive's records; path is where to extract it. One that would leave the target folder
+    is an error, or with strict false is left out."""
+    rows = archive.select(metadata_fields("record").alias("m")).select("m.*")
+    place = extract_path(F.col("path"))
+    if strict:
+        place = F.coalesce(place, F.raise_error(F.concat(F.lit("path leads out of the target: "), "path")).cast("string"))
+    return rows.withColumn("path", place).where("path IS NOT NULL")
+
+
 def snapshot_times(folders: DataFrame, path: str = "path") -> DataFrame:
     """(snapshot, branch, utc): one save for each pair of snapshot and branch folder '<snapshot>/<branch>/', dated by its ctime."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")

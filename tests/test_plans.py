@@ -363,3 +363,20 @@ def test_paths_at_random_depend_on_the_seed(spark):
 
     a, b, c = ([r["path"] for r in faults.random_paths(spark, 50, s).orderBy("id").collect()] for s in (1, 1, 2))
     assert a == b != c and all(1 <= p.count("/") <= 4 for p in a)
+
+
+def test_archives_of_metadata(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/f").write_bytes(b"123")
+    (tmp_path / "l").symlink_to("d/f")
+    files.archive_metadata(files.scan_tree(spark, str(tmp_path))).write.parquet(f"{tmp_path}.archive")
+    rows = {r["path"].removeprefix(str(tmp_path)[1:]): r for r in files.read_metadata(spark.read.parquet(f"{tmp_path}.archive")).collect()}
+    assert sorted(rows) == ["/", "/d/", "/d/f", "/l"]
+    assert rows["/d/f"]["size"] == 3 and rows["/d/f"]["mtime"] == (tmp_path / "d/f").stat().st_mtime_ns and rows["/l"]["symlink"] == "d/f"
+
+
+def test_walking_a_save(spark, tmp_path):
+    repo = Repository(spark, f"{tmp_path}/r")
+    oid = repo.save("main", _files(spark, {"/a/x": b"1", "/a/y": b"2", "/b/z": b"3"}), 1000)
+    known = repo.table("files").where("path = '/a/y'").select("oid")
+    assert [r["path"] for r in repo.walk(oid, ["^/b/"], known).collect()] == ["/a/x"] and repo.walk(oid).count() == 3
