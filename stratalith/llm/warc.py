@@ -192,6 +192,8 @@ def look_up(spark: SparkSession, queries: DataFrame, directory: DataFrame, index
     if entries <= BROADCAST_BLOCKS:
         blocks = [tuple(r) for r in directory.orderBy("first", "shard", "offset").select("first", "shard", "offset", "length").collect()]
         return wanted.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(_lookup(blocks, index, archive), schema)
+    # Written in ranges of keys: each part below reads the row groups of its own keys only.
+    wanted = settle(wanted.repartitionByRange("key").sortWithinPartitions("key"), "wanted")
     found, tasks = None, max(1, tasks * BROADCAST_BLOCKS // (4 * entries))
     edges = [r["first"] for r in directory.select("first").sample(min(1.0, 4 / BROADCAST_BLOCKS), seed=1).orderBy("first").collect()]
     for lo, hi in zip([None, *edges], [*edges, None], strict=True):
