@@ -152,12 +152,31 @@ def file_size_from_chunks(spark, d):
     return chunking.sizes_from_chunks(chunking.chunks(table(spark, d, "documents"), "doc_id", _content()), "doc_id")
 
 
-@_query()
+def _folds(most: int = 4) -> str:
+    """CTEs that fold chunks into trees, level by level, up to chunks of level `most`; items of the last one are whole contents."""
+    text = "i0 AS (SELECT doc_id, seq::bigint AS idx, 33188 AS mode, oid, len::bigint AS size, level, max(level) OVER (PARTITION BY doc_id) AS top, 0::bigint AS trees FROM chunk)"
+    for n in range(1, most + 2):
+        closed = f"coalesce(sum((level >= {n})::int) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+        group = "0" if n > most else f"CASE WHEN top >= {n} THEN {closed} ELSE idx END"
+        text += f""",
+    g{n} AS (SELECT *, ({group})::bigint AS k FROM i{n - 1}),
+    o{n} AS (SELECT *, (sum(size) OVER (PARTITION BY doc_id, k ORDER BY idx) - size)::bigint AS begins, (sum(size) OVER (PARTITION BY doc_id, k))::bigint AS total, count(*) OVER (PARTITION BY doc_id, k) AS n, row_number() OVER (PARTITION BY doc_id, k ORDER BY idx) - 1 AS pos FROM g{n}),
+    e{n} AS (SELECT *, lpad(printf('%x', begins), length(printf('%x', total))::int, '0') AS name FROM o{n}),
+    t{n} AS (SELECT doc_id, k, any_value(n) AS n, any_value(total) AS total, any_value(top) AS top, arg_max(level, idx) AS level, sum(trees)::bigint AS trees, any_value(mode) AS mode, any_value(oid) AS oid,
+        string_agg(hex(encode(CASE mode WHEN 16384 THEN '40000 ' ELSE '100644 ' END || name)) || '00' || upper(oid), '' ORDER BY idx) AS h FROM e{n} GROUP BY doc_id, k),
+    i{n} AS (SELECT doc_id, k AS idx, CASE WHEN n > 1 THEN 16384 ELSE mode END AS mode, CASE WHEN n > 1 THEN sha1(encode('tree ' || (length(h) // 2)) || unhex('00') || unhex(h)) ELSE oid END AS oid, total AS size, level, top, trees + (n > 1)::int AS trees FROM t{n})"""
+    return text
+
+
+@_query(
+    f"WITH RECURSIVE {_CHUNKS}, {_folds()}, numbers AS (SELECT doc_id, count(*) AS chunks FROM chunk GROUP BY doc_id) SELECT doc_id, mode::int AS mode, oid, size, chunks::int AS chunks, trees::int AS trees FROM i5 JOIN numbers USING (doc_id) "
+    "UNION ALL SELECT doc_id, 33188, 'e69de29bb2d1d6434b8b29ae775ad8c2e48c5391', 0, 0, 0 FROM documents WHERE text = ''"
+)
 def file_roots(spark, d):
     return chunking.file_roots(table(spark, d, "documents"), "doc_id", _content())
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_CHUNKS}, {_folds()} " + " UNION ALL ".join(f"SELECT e{n}.doc_id, i{n}.oid AS tree, pos::int AS pos, e{n}.mode::int AS mode, name, e{n}.oid FROM e{n} JOIN i{n} ON e{n}.doc_id = i{n}.doc_id AND k = i{n}.idx WHERE n > 1" for n in range(1, 6)))
 def file_nodes(spark, d):
     return chunking.file_nodes(table(spark, d, "documents"), "doc_id", _content())
 
