@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -145,6 +146,20 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, most: int = 1 <<
         yield out()
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving the memory that it freed back to the system at its end: Spark keeps its Python workers for tasks of any kind."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the GNU C library's
+                trim(0)
+
+    return tidied
+
+
 def group_bounds(keys: np.ndarray) -> np.ndarray:
     """Where groups of equal neighbours begin, with the length at the end."""
     if not len(keys):

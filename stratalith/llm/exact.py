@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalith.llm.common import few, filesystem, fresh_path, matching, settle
+from stratalith.llm.common import few, filesystem, fresh_path, matching, settle, tidy
 
 #: Bytes of distinct content that one table may hold; beyond it records go to spill files.
 TABLE_BYTES = 192 << 20
@@ -235,12 +235,12 @@ def _removed(docs: DataFrame, table_bytes: int, map_table_bytes: int) -> DataFra
     spark = docs.sparkSession
     h, other = _hashes(F.col("text"))
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(h.alias("hash"), other.alias("other"), F.col("text").cast("binary").alias("content"), F.col("doc_id").cast("long").alias("doc_id"))
-    mapped = settle(rows.mapInArrow(_collapse(map_table_bytes), _DDL), "contents")
+    mapped = settle(rows.mapInArrow(tidy(_collapse(map_table_bytes)), _DDL), "contents")
     # Only contents whose hashes came from two tasks, or twice from one, can have copies elsewhere: the others stay where they are.
     contents = mapped.where("doc_id IS NULL")
     met = settle(contents.groupBy("hash", "other").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "other"), "met")
     records = contents.select("hash", "other", "content", "least").join(few(met), ["hash", "other"], "left_semi").repartition("hash")
-    resolved = settle(records.mapInArrow(_resolve(table_bytes, fresh_path(spark, "grace")), "hash long, other long, least long, keep_id long, first boolean"), "resolved")
+    resolved = settle(records.mapInArrow(tidy(_resolve(table_bytes, fresh_path(spark, "grace"))), "hash long, other long, least long, keep_id long, first boolean"), "resolved")
     elsewhere = resolved.where("NOT first").select(F.col("least").alias("doc_id"), "keep_id", "hash", "other")
     kept = few(settle(resolved.where("least <> keep_id").select("hash", "other", "least", "keep_id").distinct(), "kept"))
     local = mapped.where("doc_id IS NOT NULL").select("hash", "other", "least", "doc_id").join(kept, ["hash", "other", "least"], "left")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalith.llm import textkernel as K
-from stratalith.llm.common import few, has_text, settle
+from stratalith.llm.common import few, has_text, settle, tidy
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,7 @@ def _signer(p: MinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 def signatures(docs: DataFrame, p: MinHash) -> DataFrame:
     """(doc_id, same, bands, sketch): `same` hashes the normalised word sequence, so copies share it; sketch has a
     byte of each mixed minimum. Null or wordless texts have no row."""
-    return has_text(docs).mapInArrow(_signer(p), "doc_id long, same long, bands array<long>, sketch binary")
+    return has_text(docs).mapInArrow(tidy(_signer(p)), "doc_id long, same long, bands array<long>, sketch binary")
 
 
 #: Rows of a bucket that are compared in one task; larger buckets are cut into blocks, and every two blocks meet in a task.

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalith.llm import textkernel as K
-from stratalith.llm.common import has_text
+from stratalith.llm.common import has_text, tidy
 
 #: Labelled documents the model is fitted on at most: those with the least hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -223,10 +223,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, r
     train() for ties and missing classes. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     model = train(docs, labels, rows)
-    return docs.select("doc_id", "text").mapInArrow(_scorer(model, threshold), "doc_id long, score double, keep boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_scorer(model, threshold)), "doc_id long, score double, keep boolean")
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of docs whose score reaches the threshold, with all columns; the text decides, so repeated rows share their fate."""
     model = train(docs, labels, rows)
-    return docs.mapInArrow(_filter(model, threshold, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(tidy(_filter(model, threshold, docs.columns.index("text"))), docs.schema)

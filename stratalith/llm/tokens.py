@@ -23,6 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalith.llm import textkernel as K
+from stratalith.llm.common import tidy
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BUDGETS = (512, 2048, 8192)
@@ -94,13 +95,19 @@ def unit_starts(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+@lru_cache(maxsize=2)
+def encoding(vocabulary: str) -> tiktoken.Encoding:
+    with open(vocabulary, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("prefix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class PrefixCounter:
     """Prefix counts under one vocabulary. encode() and prefix_counts() agree: prefix_counts(t)[i] == len(encode(t[:i]))."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> None:
-        with open(vocabulary, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("prefix", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+    def __init__(self, vocabulary: str = VOCABULARY) -> None:
+        self.encoding = encoding(vocabulary)
+        self.ranks = self.encoding._mergeable_ranks
         self.encode = self.encoding.encode_ordinary
         #: Rank of each token, -1 for what only begins one.
         self.trie = {token[:i]: -1 for token in self.ranks for i in range(1, len(token))} | self.ranks
@@ -258,11 +265,14 @@ def fitting(counts: np.ndarray, budget: int) -> int:
 
 def _totals(name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = counter(_there(name)).encode
-        for batch in batches:
-            for block in K.blocks(batch, "text"):
-                counts = [None if t is None else len(encode(t)) for t in block.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "tokens"])
+        encode = encoding(_there(name)).encode_to_numpy  # no list of integers a text
+        try:
+            for batch in batches:
+                for block in K.blocks(batch, "text"):
+                    counts = [None if t is None else len(encode(t, disallowed_special=())) for t in block.column("text").to_pylist()]
+                    yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "tokens"])
+        finally:
+            encoding.cache_clear()  # what the encoder keeps of long texts goes with the task
 
     return run
 
@@ -271,7 +281,7 @@ def token_totals(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, tokens) for every row of docs: n_tokens of token_counts() alone, by encoding each text once. See there for nulls,
     repeated rows and empty tables."""
     name = _sent(docs.sparkSession, vocabulary)
-    return docs.select("doc_id", "text").mapInArrow(_totals(name), "doc_id long, tokens long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_totals(name)), "doc_id long, tokens long")
 
 
 def _counter(name: str, budgets: Sequence[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -312,4 +322,4 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, budgets: Sequenc
     rows. Other columns are ignored, whatever their names. vocabulary is a path on the driver; the file is sent to the executors.
     """
     name = _sent(docs.sparkSession, vocabulary)
-    return docs.select("doc_id", "text").mapInArrow(_counter(name, tuple(budgets)), "doc_id long, n_tokens long, prefix_counts binary, cut_at array<int>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_counter(name, tuple(budgets))), "doc_id long, n_tokens long, prefix_counts binary, cut_at array<int>")
