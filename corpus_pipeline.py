@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalith.llm.common import drop_settled, settle_last
+from stratalith.llm.common import drop_settled, settle, settle_last
 from stratalith.llm.exact import drop_exact_duplicates
 from stratalith.llm.mixing import mix_documents
 from stratalith.llm.neardup import drop_near_duplicates
@@ -55,7 +55,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows with a null doc_id, and null or empty texts, have no piece; longer texts are cut at window lengths; repeated
     rows are packed as often as they occur; of equally full windows the older is taken. An empty table gives no windows."""
-    return pack_lengths(token_totals(docs))
+    return pack_lengths(settle(token_totals(docs), "totals"))  # settled: two Python functions in one task take twice the workers
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
