@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,28 @@ def chain_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     return seen.groupBy("root", "node").agg(F.min("depth").cast("int").alias("depth"))
 
 
+def chain_ends(edges: DataFrame) -> DataFrame:
+    """(node, end, steps) of every src of edges (src, dst) with one dst a src: the node without a dst that it leads to, and in
+    how many steps; null and 0 where it runs into a cycle.
+
+    Jumps double as in chain_closure, but a node has one row only: it jumps until a round finds its end. So what a round moves
+    is in proportion to the nodes, whatever can be reached from them."""
+    rest, found = edges.select(F.col("src").alias("node"), F.col("dst").alias("end"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("over")), []
+    length, nodes = 1, edges.count()
+    while length <= nodes:
+        every = reduce(DataFrame.unionByName, found, rest)
+        via = every.select(F.col("node").alias("via"), F.col("end").alias("to"), F.col("steps").alias("more"), F.col("over").alias("last"))
+        jumped = rest.join(via, rest["end"] == via["via"], "left")
+        step = jumped.select("node", F.coalesce("to", "end").alias("end"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("last", F.lit(True)).alias("over"))
+        step = written(step, "ends")
+        found, rest = [*found, step.where("over")], step.where("NOT over")
+        if rest.isEmpty():
+            break
+        length *= 2
+    endless = rest.select("node", F.when(F.lit(False), F.col("end")).alias("end"), F.lit(0).cast("long").alias("steps"), F.lit(True).alias("over"))
+    return reduce(DataFrame.unionByName, found, endless).drop("over")
+
+
 def reachable(edges: DataFrame, roots: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """(node) that any root (node) reaches, each once, the roots included."""
     return closure(edges, roots.select(F.lit(0).alias("root"), "node"), stop).select("node").distinct()

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalith.operators.graph import chain_closure, closure
+from stratalith.operators.graph import chain_closure, chain_ends, closure
 from stratalith.storage import written
 
 _KINDS = ("all", "dailies", "monthlies", "yearlies")
@@ -83,13 +83,66 @@ def ancestors(parents: DataFrame, tips: DataFrame) -> DataFrame:
     return reach.select(F.col("root").alias("tip"), F.col("node").alias("oid"), "depth")
 
 
-def fast_forwards(parents: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (src, dest) with `allowed`: dest is null or an ancestor of src."""
+def _places(parents: DataFrame) -> DataFrame | None:
+    """(oid, line, place, unsure) of the commits that have a parent: their oldest ancestor, and how many steps it is away; None
+    where a commit has several parents. A commit can only descend from one of its line whose place is not higher. It does, unless
+    it is unsure: the line has a fork, or there is no oldest ancestor, as parents (child, parent) form a cycle."""
+    pairs = parents.where("child IS NOT NULL AND parent IS NOT NULL AND child <> parent")
+    edges = written(pairs.groupBy(F.col("child").alias("src")).agg(F.min("parent").alias("dst"), F.max("parent").alias("other")), "parents")
+    if not edges.where("dst <> other").isEmpty():
+        return None
+    ends = chain_ends(edges.select("src", "dst"))
+    places = ends.select(F.col("node").alias("oid"), F.col("end").alias("line"), F.col("steps").alias("place"), F.col("end").isNull().alias("unsure"))
+    forks = written(edges.groupBy(F.col("dst").alias("oid")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("oid"), "forks")
+    if forks.isEmpty():
+        return places
+    forked = forks.join(places, "oid", "left").select(F.coalesce("line", "oid").alias("line")).distinct().withColumn("fork", F.lit(True))
+    return places.join(forked, "line", "left").select("oid", "line", "place", (F.col("unsure") | F.col("fork").isNotNull()).alias("unsure"))
+
+
+def _placed(rows: DataFrame, places: DataFrame, oid: str, at: str) -> DataFrame:
+    """rows with a struct of column oid's place, named at; a commit without a parent begins a line of its own."""
+    known = places.select(F.col("oid").alias("__oid"), "line", "place", "unsure")
+    line = F.when(F.col("place").isNull(), F.col(oid)).otherwise(F.col("line"))
+    where = F.struct(line.alias("line"), F.coalesce("place", F.lit(0).cast("long")).alias("place"), F.coalesce("unsure", F.lit(False)).alias("unsure"))
+    return rows.join(known, F.col(oid) == F.col("__oid"), "left").select(*rows.columns, where.alias(at))
+
+
+def _allowed(parents: DataFrame, places: DataFrame, asked: DataFrame) -> DataFrame:
+    """(src, dest, allowed) of asked (src, dest, at_src, at_dest); only what is unsure is followed through the history."""
+    may = F.col("src").isNotNull() & F.col("at_src.line").eqNullSafe(F.col("at_dest.line")) & (F.col("at_dest.place") <= F.col("at_src.place"))
+    allowed = (F.col("dest").isNull() | may).alias("allowed")
+    if places.where("unsure").isEmpty():
+        return asked.select("src", "dest", allowed)
+    unsure = F.col("dest").isNotNull() & may & F.col("at_src.unsure") & F.col("at_dest.unsure")
+    rest = written(asked.where(unsure).select("src", "dest"), "unsure")
+    return asked.where(~unsure).select("src", "dest", allowed).unionByName(_followed(parents, rest))
+
+
+def _followed(parents: DataFrame, requests: DataFrame) -> DataFrame:
     reach = ancestors(parents, requests.select(F.col("src").alias("oid")).distinct())
     joined = requests.join(reach, (F.col("src") == F.col("tip")) & (F.col("dest") == F.col("oid")), "left")
     return joined.select("src", "dest", (F.col("dest").isNull() | F.col("oid").isNotNull()).alias("allowed"))
 
 
+def fast_forwards(parents: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (src, dest) with `allowed`: dest is null or an ancestor of src. Without merges the places of both in their line
+    tell, and no history is listed."""
+    places = _places(parents)
+    if places is None:
+        return _followed(parents, requests.select("src", "dest"))
+    return _allowed(parents, places, _placed(_placed(requests.select("src", "dest"), places, "src", "at_src"), places, "dest", "at_dest"))
+
+
+def fast_forwards_within(parents: DataFrame, commits: DataFrame, by: str) -> DataFrame:
+    """fast_forwards() of all ordered pairs of commits (oid, by) of one group: places are joined to the commits, not to the pairs."""
+    places = _places(parents)
+    rows = commits.select("oid", by).withColumn("at", F.lit(None)) if places is None else _placed(commits.select("oid", by), places, "oid", "at")
+    a, b = (rows.select(by, F.col("oid").alias(x), F.col("at").alias(f"at_{x}")) for x in ("src", "dest"))
+    asked = a.join(b, by)
+    return _followed(parents, asked.select("src", "dest")) if places is None else _allowed(parents, places, asked)
+
+
 def rev_list(commits: DataFrame, tips: DataFrame) -> DataFrame:
     """(tip, oid, utc, place, depth): each tip's history, newest first, of one time the nearest to the tip. commits: (oid, parent, utc)."""
     reach = ancestors(commits.where("parent IS NOT NULL").select(F.col("oid").alias("child"), "parent"), tips)

@@ -434,8 +434,7 @@ def rev_list(spark, d):
 def fast_forwards(spark, d):
     """All ordered pairs of a customer's commits."""
     commits = _commits(spark, d)
-    a, b = (commits.select(F.col("oid").alias(x), "o_custkey") for x in ("src", "dest"))
-    return history.fast_forwards(commits.where("parent IS NOT NULL").select(F.col("oid").alias("child"), "parent"), a.join(b, "o_custkey").select("src", "dest"))
+    return history.fast_forwards_within(commits.where("parent IS NOT NULL").select(F.col("oid").alias("child"), "parent"), commits, "o_custkey")
 
 
 _REFS = f"(SELECT CASE WHEN n_chars > 500 THEN 'refs/tags/' ELSE 'refs/heads/' END || source || '-' || doc_id AS name, {_OID} AS oid FROM documents)"

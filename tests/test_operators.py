@@ -4,6 +4,7 @@ from itertools import groupby
 import pytest
 from pyspark.sql import functions as F
 
+from stratalith import storage
 from stratalith.operators import graph, history, membership, snapshot, vfs
 
 
@@ -149,3 +150,47 @@ def test_links_are_of_one_owner(spark):
     rows = [("/a", 1, None, b"x"), ("/b", 1, None, b"x"), ("/c", 2, None, b"x"), ("/d", 1, "g", b"x"), ("/e", 1, None, None), ("/f", 1, None, None)]
     files = spark.createDataFrame([(p, "/t", "o", 1, 1, 33188, *r) for p, *r in rows], "path string, target string, oid string, mtime long, ctime long, mode int, uid int, group string, linux_xattr binary")
     assert {tuple(r) for r in snapshot.restore_links(files).collect()} == {("/b", "/a"), ("/f", "/e")}
+
+
+def _fast_forwards(parents, requests):
+    def ancestor(a, b):
+        seen, todo = {a}, [a]
+        while todo:
+            x = todo.pop()
+            for c, p in parents:
+                if c == x and p is not None and p not in seen:
+                    seen.add(p)
+                    todo.append(p)
+        return b in seen
+
+    return sorted((s or "", d or "", d is None or (s is not None and ancestor(s, d))) for s, d in requests)
+
+
+@pytest.mark.parametrize("kind", ["forks and cycles", "merges"])
+def test_fast_forwards_of_any_history(spark, kind):
+    parents = [(f"a{i}", f"a{i - 1}") for i in range(1, 6)] + [("b1", "b0"), ("c1", None), (None, "a3"), ("a4", "a3")]
+    parents += [("b1", "a2"), ("d", "b1")] if kind == "merges" else [("f1", "f0"), ("f2", "f1"), ("f3", "f1"), ("f4", "f2"), ("x0", "x1"), ("x1", "x2"), ("x2", "x0"), ("y", "x1"), ("z", "z"), ("z2", "z")]
+    nodes = sorted({x for e in parents for x in e if x}) + ["stray"]
+    requests = [(s, d) for s in nodes for d in nodes] + [("a3", None), (None, "a3"), (None, None), ("a5", "a2"), ("a5", "a2")]
+    links = spark.createDataFrame(parents, "child string, parent string")
+    found = history.fast_forwards(links, spark.createDataFrame(requests, "src string, dest string")).collect()
+    assert sorted((x["src"] or "", x["dest"] or "", x["allowed"]) for x in found) == _fast_forwards(parents, requests)
+    commits = [(n, i % 2) for i, n in enumerate(nodes)]
+    within = history.fast_forwards_within(links, spark.createDataFrame(commits, "oid string, half int"), "half").collect()
+    assert sorted((x["src"], x["dest"], x["allowed"]) for x in within) == _fast_forwards(parents, [(a, b) for a, i in commits for b, j in commits if i == j])
+
+
+def test_fast_forwards_write_in_proportion_to_the_commits(spark, monkeypatch):
+    rows = []
+
+    def counting(df, what):
+        rows.append((what, df.count()))
+        return storage.written(df, what)
+
+    for module in (graph, history):
+        monkeypatch.setattr(module, "written", counting)
+    n = 120
+    links = spark.createDataFrame([(i, i - 1) for i in range(1, n)], "child long, parent long")
+    pairs = spark.createDataFrame([(a, b) for a in range(n) for b in range(n)], "src long, dest long")
+    assert history.fast_forwards(links, pairs).where(F.col("allowed") == (F.col("dest") <= F.col("src"))).count() == n * n
+    assert rows and all(k < n for _, k in rows), rows
