@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -104,6 +105,26 @@ def test_object_records(kind, content):
     assert codecs.decode_object(codecs.encode_object(kind, content)) == (kind, content)
 
 
+def test_object_records_are_made_in_slices():
+    import pyarrow as pa
+
+    contents = [random.Random(i).randbytes(200_000) for i in range(40)] + [None, b"", b"x"]
+    kinds = ["blob"] * 41 + ["tree", None]
+    records = list(codecs.object_record.func(iter([(pa.array(kinds), pa.array(contents, pa.binary()))])))
+    objects = list(codecs.object_content.func(iter(records)))
+    assert max(a.nbytes for a in records + objects) < 2 * codecs.SLICE_BYTES  # all at once would be 8 MB
+    found = [(o["kind"], o["content"]) for a in objects for o in a.to_pylist()]
+    assert found == [(k, c) if k is not None and c is not None else (None, None) for k, c in zip(kinds, contents, strict=True)]
+
+
+def test_object_records_of_rows(spark):
+    rows = [(i, None if i % 50 == 7 else "tree" if i % 3 else "blob", None if i % 40 == 9 else bytes([i % 256]) * (i % 11 * 30_000)) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, kind string, content binary").repartition(3)
+    back = df.select("i", codecs.object_content(codecs.object_record("kind", "content")).alias("o")).select("i", "o.kind", "o.content").collect()
+    expected = [(i, k, c) if k is not None and c is not None else (i, None, None) for i, k, c in rows]
+    assert sorted((r["i"], r["kind"], r["content"] if r["content"] is None else bytes(r["content"])) for r in back) == expected
+
+
 def test_metadata_records_skip_what_they_do_not_know():
     fields = {"path": "a/b", "mode": 33188, "uid": 5, "user": "u", "gid": 6, "grp": "g", "rdev": 0, "atime": -1, "mtime": 2, "ctime": 3, "size": 4, "symlink": "t"}
     raw = codecs.encode_metadata(fields)
